@@ -23,8 +23,11 @@ WHOLE, WITHOUT = 0, 1
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, norm: the lines that hold a word, white space made one space."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "line_no", F.trim(F.regexp_replace("line", BLANK, " ")).alias("norm")).where("norm <> ''")
+    # most lines hold single spaces only; the pattern is for the others
+    odd = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\x0c")
+    tidy = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.when(odd(x), F.regexp_replace(x, BLANK, " ")).otherwise(x)))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(tidy).alias("line_no", "norm"))
+    return cut.where("norm <> ''")
 
 
 def _halves(words: str, n: str) -> list:
@@ -36,14 +39,14 @@ def _halves(words: str, n: str) -> list:
     return out
 
 
-def _first_lines(docs: DataFrame, **names) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, distinct lines): the latter with the earliest place of each and the keys of its halves."""
+def _first_lines(docs: DataFrame, **names) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, hashed occurrences, distinct lines): the last with the earliest place of each and the keys of its halves."""
     lines = lines_of(docs, **names)
     words = lines.select("doc_id", "line_no", F.expr("xxhash64(norm)").alias("h1"), F.expr("xxhash64(norm, 1)").alias("h2"), F.split("norm", " ").alias("w"))
     keys = F.when(F.size("w") >= FUZZY_WORDS, F.array(*_halves("w", "size(w)")))
-    occurrences = words.select("h1", "h2", F.struct("doc_id", "line_no").alias("place"), keys.alias("halves"))
+    occurrences = materialize(words.select("h1", "h2", F.struct("doc_id", "line_no").alias("place"), keys.alias("halves")))
     distinct = occurrences.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
-    return lines, materialize(distinct)
+    return lines, occurrences.select("h1", "h2", "place"), materialize(distinct)
 
 
 def _shared_halves(distinct: DataFrame) -> DataFrame:
@@ -64,13 +67,13 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     # a key is the hash of the words that are left; the position that was left out makes two of one length comparable
     whole = F.expr("named_struct('key', xxhash64(w, size(w)), 'at', -1)")
     shorter = F.expr("transform(sequence(1, size(w)), i -> named_struct('key', xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w))), size(w) - 1), 'at', i))")
-    emitted = texts.select("place", F.explode(F.concat(F.array(whole), shorter)).alias("v")).select("place", "v.key", "v.at")
+    emitted = materialize(texts.select("place", F.explode(F.concat(F.array(whole), shorter)).alias("v")).select("place", "v.key", "v.at"))
     # earliest of each key and position: an exchange of the word there; earliest whole line and earliest longer one: a word put in or left out
-    slots = emitted.groupBy("key", "at").agg(F.min("place").alias("least"))
+    slots = materialize(emitted.groupBy("key", "at").agg(F.min("place").alias("least"), F.count("*").alias("members")))
     ends = slots.groupBy("key").agg(
         F.min(F.when(F.col("at") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("least"))).alias("longer"), F.count("*").alias("n")
     )
-    same = emitted.where("at > 0").join(slots.where("at > 0"), ["key", "at"]).where("least < place").select("place", F.col("least").alias("earlier"))
+    same = emitted.where("at > 0").join(slots.where("at > 0 AND members > 1"), ["key", "at"]).where("least < place").select("place", F.col("least").alias("earlier"))
     other = (
         emitted.join(ends.where("whole IS NOT NULL AND longer IS NOT NULL"), "key")
         .select("place", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")).alias("earlier"))
@@ -96,15 +99,14 @@ def _one_edit(a: str, b: str):
 
 def repeated_lines(docs: DataFrame, **names) -> DataFrame:
     """(doc_id, line_no): lines that equal or nearly equal an earlier one (smaller doc_id, or earlier in the same document)."""
-    lines, distinct = _first_lines(docs, **names)
+    lines, occurrences, distinct = _first_lines(docs, **names)
     near = materialize(_near(lines, distinct))
-    hashed = lines.select("doc_id", "line_no", F.expr("xxhash64(norm)").alias("h1"), F.expr("xxhash64(norm, 1)").alias("h2"))
     # only lines with copies, or with a like line before, have anything to lose
     marked = distinct.join(near, "place", "left").where("copies > 1 OR earlier IS NOT NULL").select(
         F.col("h1").alias("k1"), F.col("h2").alias("k2"), "place", F.col("earlier").isNotNull().alias("all")
     )
-    met = hashed.join(marked, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    return met.where(F.col("all") | (F.struct("doc_id", "line_no") > F.col("place"))).select("doc_id", "line_no")
+    met = occurrences.select("h1", "h2", F.col("place").alias("own")).join(marked, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    return met.where(F.col("all") | (F.col("own") > F.col("place"))).select("own.doc_id", "own.line_no")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
