@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 CHECK = 64  # characters between looks for a common boundary
-CACHE = 400_000
-PAIRS = 1_000_000
+CACHE = 200_000  # words in each of the two generations
+PAIRS = 400_000
+STEP = 1 << 20  # bytes of text, about, whose ids are held before they are given out
 
 
 def default_model() -> str:
@@ -243,6 +245,16 @@ def _parts(line: str) -> list[str]:
     return out
 
 
+def _steps(batches):
+    """Arrow batches of (id, text) cut into slices of about STEP bytes of text; a longer text ends its slice."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        step = (np.cumsum(sizes, dtype=np.int64) - sizes) // STEP
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _vocabulary(model_path: str | None) -> bytes:
     """The model's bytes, read on the driver: executors need not have the file."""
     with open(model_path or default_model(), "rb") as f:
@@ -261,7 +273,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, digests: bo
 
     def run(batches):
         pieces = loaded(model)
-        for batch in batches:
+        for batch in _steps(batches):
             made, same, hashed, decoded = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
