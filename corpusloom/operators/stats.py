@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import ranged_prefix
+
 PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -66,10 +68,15 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, strata: str, key: str, shares=(("train", 0.8), ("val", 0.1), ("test", 0.1)), seed: str = "42") -> DataFrame:
-    """``df`` with part: within each stratum, rows in the order of a hash of the key are cut by the shares."""
-    w = Window.partitionBy(strata)
-    ranked = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    ranked = ranked.withColumn("_r", F.row_number().over(w.orderBy("_h", key))).withColumn("_n", F.count("*").over(w))
+    """``df`` with part: within each stratum, rows in the order of a hash of the key are cut by the shares.
+
+    Ranks are prefix sums over 256 ranges of the hash, so a stratum with most of the rows is no single task's work.
+    """
+    hashed = df.withColumns({"_h": F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), "_one": F.lit(1).cast("long")})
+    bucket = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")
+    ranked = ranged_prefix(hashed, strata, bucket, ["_h", key], "_one", "_before").withColumn("_r", F.col("_before") + 1)
+    sizes = df.groupBy(F.col(strata).alias("_s")).agg(F.count("*").alias("_n"))
+    ranked = ranked.join(sizes, ranked[strata].eqNullSafe(sizes["_s"]))
     part, upto = F.lit(shares[-1][0]), 0.0
     cuts = []
     for name, share in shares[:-1]:
@@ -77,7 +84,7 @@ def stratified_split(df: DataFrame, strata: str, key: str, shares=(("train", 0.8
         cuts.append((name, upto))
     for name, cut in reversed(cuts):
         part = F.when(F.col("_r") <= F.round(F.col("_n") * F.lit(cut)), F.lit(name)).otherwise(part)
-    return ranked.withColumn("part", part).drop("_h", "_r", "_n")
+    return ranked.withColumn("part", part).drop("_h", "_one", "_before", "_r", "_s", "_n")
 
 
 def value_counts(df: DataFrame, flag: str, by: list[str] = (), drop_null: bool = True) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+from corpusloom.runtime import materialize
+
 MODS = "array<struct<change_type:string,old_path:string,new_path:string,diff:string>>"
 COMMIT = f"author array<string>, date string, timezone int, hash string, message string, mods {MODS}"
 PAIRS = "part_id1 int, id1 int, part_id2 int, id2 int"
@@ -79,3 +84,21 @@ def write_diff_text(df: DataFrame, path: str, line_sep: str = "\n") -> None:
 
 def write_groups(groups: DataFrame, path: str) -> None:
     groups.write.mode("overwrite").json(path)
+
+
+def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """_line, <name>: the lines of one text file, stripped, with their number; a split's first number is the sum of those before it."""
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), strip(F.col("value")).alias(name)
+    )
+    rows = materialize(read)
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    starts = splits.select("_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(starts, "_split").select((F.col("_base") + F.col("_id") - F.col("_first")).alias("_line"), name)
+
+
+def read_aligned(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """One row a line number that all files have: a column for each name, from its file's line, stripped."""
+    files = [_numbered(spark, path, name) for name, path in paths.items()]
+    return reduce(lambda a, b: a.join(b, "_line"), files).drop("_line")

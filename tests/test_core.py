@@ -4,6 +4,7 @@ import gzip
 import json
 import random
 import re
+import subprocess
 
 import pytest
 from corpusloom.functions.cleaning import clean_lines
@@ -181,3 +182,58 @@ def test_stream_gives_what_the_batch_gives(spark, corpus, tmp_path):
     batch = diffs.clean_diffs(messages.clean_messages(raw))
     key = lambda df: sorted((r["hash"], r["message"]) for r in df.collect())
     assert key(spark.table("cleaned")) == key(batch) and re.match(r"\w", key(batch)[0][1])
+
+
+def test_aligned_files(spark, tmp_path):
+    n = 3000
+    for name, extra in (("msg", 5), ("sha", 0)):
+        (tmp_path / name).write_text("".join(f" {name} {i} \n" for i in range(n + extra)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+        rows = commits.read_aligned(spark, {name: str(tmp_path / name) for name in ("msg", "sha")}).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert {(r["msg"], r["sha"]) for r in rows} == {(f"msg {i}", f"sha {i}") for i in range(n)} and len(rows) == n
+
+
+def test_mining(spark, tmp_path):
+    from corpusloom.sources.gitlog import MINED, mine_commits
+
+    repo = tmp_path / "r"
+    repo.mkdir()
+
+    def git(*args, date="2020-02-01T03:04:05+0130"):
+        env = {"GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date, "HOME": str(tmp_path), "PATH": "/usr/bin:/bin:/usr/local/bin"}
+        subprocess.run(["git", "-c", "user.name=Ann", "-c", "user.email=a@x.org", *args], cwd=repo, env=env, check=True, capture_output=True)
+
+    git("init", "-q")
+    (repo / "a.txt").write_text("one\ntwo\nthree\nfour\n")
+    (repo / "bin").write_bytes(bytes(range(256)))
+    git("add", "."), git("commit", "-qm", "First\n\nbody line")
+    (repo / "a.txt").write_text("one\n-- two\nthree\nfour\n")
+    git("commit", "-qam", "Second", date="2020-02-02T03:04:05-0500")
+    git("mv", "a.txt", "b.txt"), git("commit", "-qm", "Third")
+    (repo / "b.txt").unlink(), git("commit", "-qam", "Fourth")
+    (repo / "big").write_text("x\n" * 50), git("add", "."), git("commit", "-qm", "Too big")
+    repos = spark.createDataFrame([("org#r", str(repo)), ("org#none", str(tmp_path / "none"))], "repo string, path string")
+    rows = mine_commits(repos, max_lines=20, chunk=2).collect()
+    assert [r["message"] for r in rows] == ["First\n\nbody line", "Second", "Third", "Fourth"]
+    assert (rows[0]["date"], rows[0]["timezone"], rows[1]["timezone"], list(rows[0]["author"])) == ("01.02.2020 03:04:05", -5400, 18000, ["Ann", "a@x.org"])
+    first = {m["new_path"]: m for m in rows[0]["mods"]}
+    assert first["a.txt"]["diff"] == "@@ -0,0 +1,4 @@\n+one\n+two\n+three\n+four\n" and first["a.txt"]["old_path"] is None
+    assert first["bin"]["change_type"] == "ADD" and first["bin"]["diff"].startswith("Binary files")
+    assert rows[1]["mods"][0].asDict() == {"change_type": "MODIFY", "old_path": "a.txt", "new_path": "a.txt", "diff": "@@ -1,4 +1,4 @@\n one\n-two\n+-- two\n three\n four\n"}
+    assert rows[2]["mods"][0].asDict() == {"change_type": "RENAME", "old_path": "a.txt", "new_path": "b.txt", "diff": ""}
+    assert (rows[3]["mods"][0]["change_type"], rows[3]["mods"][0]["new_path"]) == ("DELETE", None)
+    assert mine_commits(repos.limit(0)).count() == 0 and MINED.startswith("repo string")
+
+
+def test_split_of_one_stratum(spark):
+    from corpusloom.operators.stats import stratified_split
+
+    rows = spark.createDataFrame([(i, None if i % 3 else "b") for i in range(300)], "id long, g string")
+    out = stratified_split(rows, "g", "id")
+    got = {(r["g"], r["part"]): r["count"] for r in out.groupBy("g", "part").count().collect()}
+    assert got == {(g, p): n for g, sizes in ((None, (160, 20, 20)), ("b", (80, 10, 10))) for p, n in zip(("train", "val", "test"), sizes)}
+    assert out.columns == ["id", "g", "part"]
