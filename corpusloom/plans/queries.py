@@ -13,7 +13,7 @@ from corpusloom.functions import cleaning as C
 from corpusloom.functions import text as T
 from corpusloom.operators import clones, diffs, messages, metadata, outliers, stats
 from corpusloom.operators.components import connected_components
-from corpusloom.runtime import load
+from corpusloom.runtime import load, materialize
 from corpusloom.sources import commits
 
 QUERIES: dict = {}
@@ -326,6 +326,11 @@ def hashed(spark, sf_dir, tokens_hash: bool = False) -> DataFrame:
     return clones.add_hashes(documents(spark, sf_dir, part=PART, mods=mods), "text", tokens_hash=tokens_hash)
 
 
+def hashes(spark, sf_dir) -> DataFrame:
+    """What clone search reads several times: ids, parts and hashes, written once instead of hashing the texts for each use."""
+    return materialize(hashed(spark, sf_dir).select("doc_id", "part", "lang", "mh", "dh"))
+
+
 @query(
     f"SELECT doc_id, len(t) AS n_total, len(list_distinct(t)) AS n_unique, md5(array_to_string(t, ' ')) AS tokens_md5 "
     f"FROM (SELECT doc_id, {s_cut(S_MSG)} AS t FROM documents)"
@@ -365,19 +370,19 @@ S_INNER = "SELECT part, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY part,
 
 @query(f"WITH h AS ({S_HASHED}) {S_INNER}")
 def inner_any(spark, sf_dir):
-    return clones.inner_clones(hashed(spark, sf_dir), "doc_id")
+    return clones.inner_clones(hashes(spark, sf_dir), "doc_id")
 
 
 @query(
     f"WITH h AS ({S_HASHED}) SELECT part, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY part, mh, dh) AS n FROM h WHERE mh IS NOT NULL AND dh IS NOT NULL) WHERE n > 1"
 )
 def inner_full(spark, sf_dir):
-    return clones.inner_clones(hashed(spark, sf_dir), "doc_id", only_full=True)
+    return clones.inner_clones(hashes(spark, sf_dir), "doc_id", only_full=True)
 
 
 @query(f"WITH h AS ({S_HASHED}) {S_OUTER}")
 def outer_clones(spark, sf_dir):
-    return clones.outer_clones(hashed(spark, sf_dir), "doc_id")
+    return clones.outer_clones(hashes(spark, sf_dir), "doc_id")
 
 
 S_LEFT = f"WITH h AS ({S_HASHED}) SELECT doc_id, part, lang FROM h WHERE doc_id NOT IN (SELECT doc_id FROM ({S_INNER})) AND doc_id NOT IN (SELECT doc_id FROM ({S_OUTER}))"
@@ -385,7 +390,7 @@ S_LEFT = f"WITH h AS ({S_HASHED}) SELECT doc_id, part, lang FROM h WHERE doc_id
 
 @query(S_LEFT)
 def drop_clones(spark, sf_dir):
-    return clones.drop_clones(hashed(spark, sf_dir), "doc_id").select("doc_id", "part", "lang")
+    return clones.drop_clones(hashes(spark, sf_dir), "doc_id").select("doc_id", "part", "lang")
 
 
 @query(f"SELECT lang, part, count(*) AS n FROM ({S_LEFT}) GROUP BY lang, part")
