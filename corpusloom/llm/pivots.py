@@ -28,13 +28,32 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
 
 
-def choose_pivots(distinct: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """Reference points by dimension: a sample of at most ``pivots`` distinct vectors, by hash of the id."""
-    rows = distinct.select("vec_id", "v").orderBy(F.xxhash64(F.col("vec_id")), "vec_id").limit(pivots).collect()
+def choose_pivots(distinct: DataFrame, pivots: int, cosine: float, named: int, apart: float = 0.7, sample: int = 4096) -> dict[int, np.ndarray]:
+    """Reference points by dimension: at most ``pivots`` of a sample of at most ``sample`` distinct vectors, by hash of the id.
+
+    In that order, a vector becomes a pivot if its cosine with those before is below ``apart``. A large group of near
+    copies so gets few pivots, and its members agree on their nearest ones; with pivots from its midst they would not.
+    Where this leaves fewer than eight for each one named, as in a narrow cone, the bound is the linking ``cosine``.
+    """
+    rows = distinct.select("vec_id", "v").orderBy(F.xxhash64(F.col("vec_id")), "vec_id").limit(sample).collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(len(r["v"]), []).append(np.array(r["v"]) / np.linalg.norm(r["v"]))
-    return {n: np.stack(x) for n, x in out.items()}
+
+    def spread(points: list, bound: float) -> np.ndarray:
+        chosen = np.empty((min(pivots, len(points)), len(points[0])))
+        n = 0
+        for x in points:
+            if n < len(chosen) and (n == 0 or (chosen[:n] @ x).max() < bound):
+                chosen[n], n = x, n + 1
+        return chosen[:n]
+
+    found = {}
+    for width, points in out.items():
+        found[width] = spread(points, min(apart, cosine))
+        if len(found[width]) < min(pivots, 8 * named):
+            found[width] = spread(points, cosine)
+    return found
 
 
 def _describe(pivots: dict[int, np.ndarray], named: int):
@@ -142,14 +161,14 @@ def embedding_groups(
     Pairs found that share at least ``shared`` of their ``named`` nearest pivots link from ``cosine`` on, in double
     precision. Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths never link. Equal vectors are one node of the index and count as links of each other. An empty
-    table gives an empty result; ids are taken as unique; further columns are ignored. The index is fitted on at most
-    ``pivots`` sampled vectors and holds every vector; a list longer than ``tile`` is compared tile by tile.
+    table gives an empty result; ids are taken as unique; further columns are ignored. The index is fitted on a sample of
+    at most 4,096 vectors (see :func:`choose_pivots`) and holds every vector; a list longer than ``tile`` is compared tile by tile.
     """
     if pivots > 4096:
         raise ValueError("at most 4096 pivots")
     fine = valid_vectors(vectors, id_col, vector_col)
     members = materialize(fine.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    points = choose_pivots(members, pivots)
+    points = choose_pivots(members, pivots, cosine, named)
     listed = materialize(
         members.select("vec_id", "copies", "v").mapInArrow(_describe(points, named), "pivot int, vec_id long, copies long, named binary, raw binary")
     )

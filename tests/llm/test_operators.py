@@ -349,15 +349,32 @@ def test_embeddings(spark):
 
 
 def test_embedding_recall(spark):
+    """A group of near copies that holds a third of the rows, and partners just above the threshold."""
     from corpusloom.llm.pivots import embedding_groups
 
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = table.orderBy("vec_id").collect()
-    d = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    rng = np.random.default_rng(4)
+
+    def beside(base, low, high):
+        other = rng.normal(size=base.shape)
+        other -= (other * base).sum(axis=1, keepdims=True) * base
+        other /= np.linalg.norm(other, axis=1, keepdims=True)
+        c = rng.uniform(low, high, size=(len(base), 1))
+        return c * base + np.sqrt(1 - c * c) * other
+
+    single = rng.normal(size=(2000, 64))
+    single /= np.linalg.norm(single, axis=1, keepdims=True)
+    near = beside(single[:1500], 0.901, 0.92)
+    hot = beside(np.repeat(single[-1:], 1700, axis=0), 0.955, 0.99)
+    d = np.concatenate((single, near, hot)).astype(np.float32).astype(np.float64)
     norms = np.sqrt((d * d).sum(axis=1))
-    linked = ((d @ d.T) / np.outer(norms, norms) >= 0.9).sum(axis=1) - 1
-    got = sum(r["n_links"] for r in embedding_groups(table).collect())
-    assert 0.9 * linked.sum() <= got <= linked.sum()
+    linked = (d @ d.T) / np.outer(norms, norms) >= 0.9
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "vec_id long, embedding array<float>")
+    links = {r["vec_id"]: r["n_links"] for r in embedding_groups(table).collect()}
+    got, whole = np.array([links[i] for i in range(len(d))]), linked.sum(axis=1)
+    assert (got <= whole).all()
+    for part in (slice(0, 1500), slice(2000, 3500), slice(3500, None)):
+        assert whole[part].sum() > 1000 and got[part].sum() >= 0.97 * whole[part].sum()
 
 
 def test_toxicity(spark):
