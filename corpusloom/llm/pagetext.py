@@ -37,6 +37,9 @@ JUNK_NAMES = frozenset(
     "social related recommended recommendations widget widgets pagination pager toolbar copyright legal disclaimer skip search form".split()
 )
 GOOD_NAMES = frozenset("article content entry main post story body text hentry blog page".split())
+OWN_NAMES = frozenset("article content entry main post story".split())
+LAYOUT = frozenset("has with without no is category tag type status format".split())
+REMARKS = frozenset("comment comments reply replies respond".split())
 NAME_PART = re.compile(r"[A-Za-z]+?(?=[A-Z]|[^A-Za-z]|\Z)")
 
 LEAST_PARAGRAPH = 25
@@ -52,6 +55,24 @@ class Node:
         self.score, self.junk, self.chars, self.linked, self.links = 0.0, False, 0, 0, 0
 
 
+def _parts(name: str) -> list[str]:
+    """The words of one class name or id, in lower case; words are told by capitals or by what is no letter."""
+    return [p.lower() for p in NAME_PART.findall(name.lower() if name.isupper() else name)]
+
+
+def _junk_name(name: str, names: frozenset) -> bool:
+    """Whether a class name or id names a part around the article: by its last word, which says what a thing is
+    (main-nav, article-comments), or by any word where none belongs to the article. Names that tell of a layout or a
+    topic (has-sidebar, page-with-comments, tag-legal) say nothing, and an article's own header is part of it."""
+    parts = _parts(name)
+    if not parts or parts[0] in LAYOUT or "with" in parts:
+        return False
+    own = not OWN_NAMES.isdisjoint(parts)
+    if parts[-1] in names and not (own and parts[-1] == "header"):
+        return True
+    return not own and not names.isdisjoint(parts)
+
+
 def _junk(node: Node) -> bool:
     """Whether an element is a part of the page around the article, by its name, role, classes or being hidden."""
     if node.tag in JUNK_TAGS:
@@ -61,14 +82,13 @@ def _junk(node: Node) -> bool:
         while above is not None and above.tag not in ("article", "main"):
             above = above.parent
         return above is None
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
-        if not node.attrs or node.tag in ("html", "body"):
-            return False
+    if not node.attrs or node.tag in ("html", "body"):
+        return False
+    names = REMARKS if node.tag in ("article", "main") else JUNK_NAMES
     for name, value in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            parts = {p.lower() for p in NAME_PART.findall(value)}
-            if parts & JUNK_NAMES and not parts & {"article", "main", "content", "entry"}:
+            if any(_junk_name(x, names) for x in value.split()):
                 return True
         elif name == "role" and value.lower() in JUNK_ROLES:
             return True

@@ -322,6 +322,21 @@ def test_pages(spark):
         assert r["text"] == "\n\n".join(x for x in parts if x)
 
 
+def test_names_around_the_article():
+    from corpusloom.llm.pagetext import main_text
+
+    words = "The river rose again in spring, and the mill, as ever, stood in water to the second step."
+    kept = ("has-sidebar", "page-with-comments", "post tag-legal category-social", "entry-content", "postBody", "article-header", "content")
+    gone = ("main-nav", "article-comments", "content-sidebar", "entry-footer", "COMMENTS", "adSlot", "cookie-bar", "post-comments", "comment-list")
+    for name in kept:
+        assert main_text(f"<body><div class='{name}'><p>{words}</p><p>{words}</p></div></body>") == f"{words}\n\n{words}", name
+    for name in gone:
+        page = f"<body><div><h1>Mill</h1><p>{words}</p><p>{words}</p><div class='{name}'><p>{words[:40]}</p></div></div></body>"
+        assert main_text(page) == f"Mill\n\n{words}\n\n{words}", name
+    article = f"<article class='post tag-legal hentry'><p>{words}</p></article><article class='comment-body'><p>{words}</p></article>"
+    assert main_text(article) == words
+
+
 def test_embeddings(spark):
     from corpusloom.llm.pivots import embedding_groups
 
