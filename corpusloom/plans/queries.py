@@ -13,6 +13,7 @@ from corpusloom.functions import cleaning as C
 from corpusloom.functions import text as T
 from corpusloom.operators import clones, diffs, messages, metadata, outliers, stats
 from corpusloom.operators.components import connected_components
+from corpusloom.operators.ids import surrogate_ids as number_keys
 from corpusloom.runtime import load, materialize
 from corpusloom.sources import commits
 
@@ -660,6 +661,17 @@ def license_whitelist(spark, sf_dir):
     return load(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
 
 
+@query(
+    "SELECT source, hash, row_number() OVER (ORDER BY place // 1000000000000, source NULLS FIRST, place, hash) - 1 AS id FROM "
+    f"(SELECT source, md5(text) AS hash, min(CASE {PART} WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END * 1000000000000 + doc_id) AS place "
+    "FROM documents GROUP BY source, md5(text))"
+)
+def surrogate_ids(spark, sf_dir):
+    rank = f"CASE {PART} WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END"
+    rows = load(spark, sf_dir, "documents").select("source", F.md5("text").alias("hash"), F.expr(rank).alias("rank"), F.col("source").alias("repo"), "doc_id")
+    return number_keys(rows, ["source", "hash"], ["rank", "repo", "doc_id"])
+
+
 @query("SELECT doc_id, 'org/' || source AS repo FROM documents")
 def merge_parts(spark, sf_dir):
     return commits.merge_parts(load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org#"), "source").alias("repo")))

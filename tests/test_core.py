@@ -10,6 +10,7 @@ import pytest
 from corpusloom.functions.cleaning import clean_lines
 from corpusloom.operators import clones, diffs, messages, outliers
 from corpusloom.operators.components import connected_components
+from corpusloom.operators.ids import surrogate_ids
 from corpusloom.operators.prefix import ranged_prefix
 from corpusloom.plans.pipeline import Config, Tables, run
 from corpusloom.sources import commits
@@ -237,3 +238,13 @@ def test_split_of_one_stratum(spark):
     got = {(r["g"], r["part"]): r["count"] for r in out.groupBy("g", "part").count().collect()}
     assert got == {(g, p): n for g, sizes in ((None, (160, 20, 20)), ("b", (80, 10, 10))) for p, n in zip(("train", "val", "test"), sizes)}
     assert out.columns == ["id", "g", "part"]
+
+
+def test_surrogate_ids(spark):
+    rows = [("b", 5), ("a", 7), ("b", 1), (None, 3), ("c", 7), ("a", 7)]
+    df = spark.createDataFrame(rows, "k string, at int").repartition(3)
+    got = {r["k"]: r["id"] for r in surrogate_ids(df, ["k"], ["at"]).collect()}
+    assert got == {"b": 0, None: 1, "a": 2, "c": 3}
+    many = spark.range(1000).selectExpr("id AS k", "1000 - id AS at")
+    assert all(r["id"] == 999 - r["k"] for r in surrogate_ids(many, ["k"], ["at"]).collect())
+    assert surrogate_ids(df.limit(0), ["k"], ["at"]).count() == 0
