@@ -7,18 +7,24 @@ edit distance of what met is verified on the words, and the earliest line stays.
 
 Two such lines always share their first or their last half, so distinct lines whose halves nobody shares, which is
 most, need not emit variants. Within a key no pairs are formed: each member only needs the key's earliest lines.
+
+With ``words_per_edit`` the bound grows with the line: the longer of two lines may have one edit for each so many of its
+words (5: a similarity of 0.8 at any length). One edit breaks at most two pairs of neighbouring words, so two such lines
+share a pair within the first few of their pairs in any common order. The order is by frequency, as a sketch of a sample
+tells it, so frequent pairs hardly become keys; it decides the cost and never the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize
+from corpusloom.runtime import discard, materialize
 
 BLANK = r"[\t-\r ]+"
 FUZZY_WORDS = 5
 WHOLE, WITHOUT = 0, 1
+SKETCH, SKETCH_DOCS = 1 << 16, 10_000
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,11 +45,11 @@ def _halves(words: str, n: str) -> list:
     return out
 
 
-def _first_lines(docs: DataFrame, **names) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _first_lines(docs: DataFrame, halves: bool = True, **names) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, hashed occurrences, distinct lines): the last with the earliest place of each and the keys of its halves."""
     lines = lines_of(docs, **names)
     words = lines.select("doc_id", "line_no", F.expr("xxhash64(norm)").alias("h1"), F.expr("xxhash64(norm, 1)").alias("h2"), F.split("norm", " ").alias("w"))
-    keys = F.when(F.size("w") >= FUZZY_WORDS, F.array(*_halves("w", "size(w)")))
+    keys = F.when(F.size("w") >= FUZZY_WORDS, F.array(*_halves("w", "size(w)"))) if halves else F.lit(None).cast("array<bigint>")
     occurrences = materialize(words.select("h1", "h2", F.struct("doc_id", "line_no").alias("place"), keys.alias("halves")))
     distinct = occurrences.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     return lines, occurrences.select("h1", "h2", "place"), materialize(distinct)
@@ -97,10 +103,75 @@ def _one_edit(a: str, b: str):
     return F.expr(f"abs({n} - {m}) <= 1 AND NOT ({n} = {m} AND {head} = {n}) AND {rest_a} = {rest_b}")
 
 
-def repeated_lines(docs: DataFrame, **names) -> DataFrame:
+PAIRS = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> xxhash64(x, y))"
+
+
+def _sketch(docs: DataFrame, **names) -> str:
+    """SQL of an array: for each bucket of hashed word pairs the magnitude of its count in a sample of the documents."""
+    rows = docs.count()
+    sample = docs.sample(min(1.0, SKETCH_DOCS / max(1, rows)), 1) if rows > SKETCH_DOCS else docs
+    pairs = lines_of(sample, **names).select(F.split("norm", " ").alias("w")).where("size(w) > 1").select(F.explode(F.expr(PAIRS)).alias("h"))
+    sizes = [0] * SKETCH
+    for b, n in pairs.groupBy(F.expr(f"cast(pmod(h, {SKETCH}) AS int)").alias("b")).count().collect():
+        sizes[b] = n.bit_length()
+    return f"cast(split('{','.join(map(str, sizes))}', ',') AS array<int>)"
+
+
+def _pair_keys(sketch: str, per: int):
+    """The rarest word pairs of a line, of which a line within the bound has one among its own rarest.
+
+    Of n words with e = n div per edits n - 1 - 2e pairs are left at least; the bound of a longer line, at most at the next multiple
+    of ``per``, can leave fewer by one. As many keys as pairs that may break, and one more.
+    """
+    n = "size(w)"
+    ranked = F.expr(f"transform({PAIRS}, h -> shiftleft(cast(get({sketch}, cast(pmod(h, {SKETCH}) AS int)) AS bigint), 56) | (h & 72057594037927935))")
+    up = f"cast(ceil({n} / {per}) AS int)"
+    left = F.expr(f"greatest(1, least({n} - 1 - 2 * ({n} div {per}), {up} * {per} - 1 - 2 * {up}))")
+    return F.array_distinct(F.slice(F.sort_array(ranked), F.lit(1), (F.size("w") - left).cast("int")))
+
+
+def _within(per: int):
+    """Whether word arrays a and b are within the bound: each word of the two becomes a character, for the built-in distance."""
+    bound = f"cast(greatest(size(a), size(b)) div {per} AS int)"
+    code = "lpad(hex(array_position(all, x) + IF(array_position(all, x) < 55000, 255, 2303)), 8, '0')"
+    coded = lambda w: f"decode(unhex(array_join(transform({w}, x -> {code}), '')), 'UTF-32')"
+    return F.expr(f"abs(size(a) - size(b)) <= {bound} AND levenshtein({coded('a')}, {coded('b')}, {bound}) >= 0")
+
+
+def _within_bound(docs: DataFrame, lines: DataFrame, distinct: DataFrame, per: int, **names) -> DataFrame:
+    """(place, earlier): distinct lines with an earlier line within one edit for each ``per`` words, verified on the words."""
+    # lines travel as strings: arrays of words are three times as large
+    texts = lines.select(F.struct("doc_id", "line_no").alias("place"), "norm").where(F.size(F.split("norm", " ")) >= FUZZY_WORDS)
+    own = texts.join(distinct.select("place"), "place", "left_semi").select("place", F.split("norm", " ").alias("w"))
+    keyed = own.select("place", F.size("w").alias("n"), F.explode(_pair_keys(_sketch(docs, **names), per)).alias("key"))
+    group = Window.partitionBy("key")
+    met = keyed.withColumn("first", F.min("place").over(group)).withColumn("members", F.count("*").over(group)).where("members > 1")
+    met = materialize(met.drop("members"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct())
+        needed = pairs.select("place").union(pairs.select("earlier")).distinct()
+        words = materialize(texts.join(needed, "place", "left_semi"))
+        both = pairs.join(words.withColumnRenamed("norm", "x"), "place").join(words.select(F.col("place").alias("earlier"), F.col("norm").alias("y")), "earlier")
+        split = both.select("place", "earlier", F.split("x", " ").alias("a"), F.split("y", " ").alias("b"))
+        split = split.withColumn("all", F.array_distinct(F.concat("a", "b")))
+        out = materialize(split.where(_within(per)).groupBy("place").agg(F.min("earlier").alias("earlier")))
+        discard(pairs)
+        discard(words)
+        return out
+
+    # most lines of a large group are like its earliest; only those that are not are compared with all others before them
+    near = verified(met.where("first < place").select("place", F.col("first").alias("earlier")))
+    still = met.where("first < place").join(near.select("place"), "place", "left_anti")
+    others = met.select("key", F.col("place").alias("earlier"), F.col("n").alias("m"))
+    rest = still.join(others, "key").where(f"earlier < place AND earlier > first AND abs(n - m) <= greatest(n, m) div {per}")
+    return near.unionByName(verified(rest.select("place", "earlier")))
+
+
+def repeated_lines(docs: DataFrame, words_per_edit: int | None = None, **names) -> DataFrame:
     """(doc_id, line_no): lines that equal or nearly equal an earlier one (smaller doc_id, or earlier in the same document)."""
-    lines, occurrences, distinct = _first_lines(docs, **names)
-    near = materialize(_near(lines, distinct))
+    lines, occurrences, distinct = _first_lines(docs, halves=words_per_edit is None, **names)
+    near = materialize(_near(lines, distinct)) if words_per_edit is None else _within_bound(docs, lines, distinct, words_per_edit, **names)
     # only lines with copies, or with a like line before, have anything to lose
     marked = distinct.join(near, "place", "left").where("copies > 1 OR earlier IS NOT NULL").select(
         F.col("h1").alias("k1"), F.col("h2").alias("k2"), "place", F.col("earlier").isNotNull().alias("all")
@@ -109,15 +180,16 @@ def repeated_lines(docs: DataFrame, **names) -> DataFrame:
     return met.where(F.col("all") | (F.col("own") > F.col("place"))).select("own.doc_id", "own.line_no")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines (lines that hold a word), n_removed, removed (their numbers from 0, in order).
 
+    Like lines are one edit of a word apart, or with ``words_per_edit`` (3 or more) one for each so many words of the longer line.
     Blank lines are never removed. Lines of fewer than five words are removed only when equal to an earlier line. Whether
     an earlier line goes itself does not matter. Null and empty texts have no lines; an empty table gives an empty
     result; further columns are ignored. Ids are taken as unique: rows that share an id count as one document.
     """
     names = {"id_col": id_col, "text_col": text_col}
-    gone = repeated_lines(docs, **names).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed")).withColumnRenamed("doc_id", "_id")
+    gone = repeated_lines(docs, words_per_edit, **names).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed")).withColumnRenamed("doc_id", "_id")
     counts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.size(F.filter(F.split(text_col, "\n"), lambda x: x.rlike(r"[^\t-\r ]"))), F.lit(0)).cast("long").alias("n_lines"),
@@ -128,9 +200,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, words_per_edit: int | None = None) -> DataFrame:
     """``docs`` without its repeated lines; text and n_chars change, other columns do not, no document is dropped."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = repeated_lines(docs, words_per_edit).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
     # one flag a line, up to the last that goes: made from the gaps between those that go
     flags = "flatten(transform(_gone, (x, i) -> concat(array_repeat(true, x - IF(i = 0, -1, _gone[i - 1]) - 1), array(false))))"

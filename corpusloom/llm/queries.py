@@ -28,7 +28,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_report(load(spark, sf_dir, "documents"))
+    found = line_report(load(spark, sf_dir, "documents"), words_per_edit=5)
     return found.withColumn("removed", F.array_join("removed", ","))
 
 

@@ -231,6 +231,48 @@ def brute_lines(texts):
     return out
 
 
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_lines_bound_grows_with_length(spark, seed):
+    from corpusloom.llm.lines import dedup_lines, line_report
+
+    rng, texts = random.Random(seed), near_texts(seed, 25)
+    for n in (5, 6, 9, 10, 14, 15, 19, 20, 24, 40, 60):
+        base = prose(rng, n, 2000).split()
+        texts.append(" ".join(base))
+        for edits in (n // 5, n // 5 + 1, n // 5, max(1, n // 10)):
+            words = list(base)
+            for at in sorted(rng.sample(range(n), edits), reverse=True):
+                words[at : at + 1] = rng.choice([[], ["new%d" % rng.randrange(99)], [words[at], "in%d" % rng.randrange(99)]])
+            texts.append(" ".join(words))
+    earlier, expected = [], {}
+    for i, t in enumerate(texts):
+        expected[i] = []
+        for no, line in enumerate((t or "").split("\n")):
+            words = WORD.findall(line)
+            if words:
+                like = (e for e in earlier if min(len(e), len(words)) >= 5 and abs(len(e) - len(words)) <= max(len(e), len(words)) // 5)
+                if words in earlier or any(word_distance(words, e) <= max(len(e), len(words)) // 5 for e in like):
+                    expected[i].append(no)
+                earlier.append(words)
+    docs = frame(spark, texts)
+    assert {r["doc_id"]: r["removed"] for r in line_report(docs, words_per_edit=5).collect()} == expected
+    one = {r["doc_id"]: r["removed"] for r in line_report(docs).collect()}
+    assert sum(map(len, one.values())) < sum(map(len, expected.values()))
+    for r in dedup_lines(docs, words_per_edit=5).collect():
+        t = texts[r["doc_id"]]
+        assert r["text"] == (t if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if no not in expected[r["doc_id"]]))
+    assert line_report(docs.limit(0), words_per_edit=5).count() == 0
+
+
 @pytest.mark.parametrize("seed", [10, 11])
 def test_lines(spark, seed):
     from corpusloom.llm.lines import dedup_lines, line_report
