@@ -3,6 +3,10 @@
 Texts are cut into sentences, sentences are normalised, known ones are mapped to identifiers, and the sequence of
 identifiers of a text is matched against ordered rules: a rule holds where its identifiers follow each other in order, with
 at most ``gap`` other sentences between two. All of it is native expressions over one row at a time: nothing is shuffled.
+
+A text is read twice. The first reading ends sentences at line ends, too, and gives one-line notices. Licences are usually
+wrapped, often in comments, so the second takes a line end, with the comment leader after it, as a space; sentences end at
+punctuation or blank lines. A rule holds if it does in either reading. SPDX lines name their licences themselves.
 """
 
 from __future__ import annotations
@@ -59,6 +63,16 @@ RULES = (
 )
 SENTENCE_END = r"\n|[.;:!?](?=[ \t\r\n]|\z)"
 NOT_WORD = r"[^a-z0-9]+"
+LEADERS = r"(?m)^[ \t]*+(?:(?:/\*++|\*++/?|//++|#++|;++|--++>?|%++|>++|<!--|\(\*|REM\b|dnl\b)[ \t]*+)++"
+WRAPPED_END = r"\n[ \t\r]*+\n\s*+|[.;:!?](?=[ \t\r\n]|\z)"
+# lines that end where they end, whatever follows: holders and SPDX lines
+LONE_LINE = r"(?mi)^([ \t]*+(?:copyright[ \t]++(?:\(c\)|\u00a9|[0-9]{4})|\(c\)|\u00a9|SPDX-)[^\n]*+)$"
+LIST_MARK = r"^(?:[0-9]{1,2}|[a-z])(?: |\z)"
+SPDX_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+_SPDX_TERM = rf"\(*{SPDX_NAME}(?:[ \t]+WITH[ \t]+{SPDX_NAME})?\)*"
+SPDX = rf"SPDX-License-Identifier:[ \t]*({_SPDX_TERM}(?:[ \t]+(?:AND|OR)[ \t]+{_SPDX_TERM})*)"
+# fixed values: SPDX names of what RULES call otherwise; all other names stand for themselves
+SPDX_NAMES = {"GPL-3.0-ONLY": "GPL-3.0", "GPL-3.0-OR-LATER": "GPL-3.0", "GPL-3.0+": "GPL-3.0"}
 
 
 def normalised(sentence: Column) -> Column:
@@ -94,6 +108,22 @@ def _holds(spots: Column, rule: tuple[str, ...], gap: int) -> Column:
     return F.aggregate(spots, start, step, lambda s: s[len(rule) - 1].isNotNull())
 
 
+def _wrapped(text: Column) -> Column:
+    """Normalised sentences of the second reading, without list marks."""
+    plain = F.regexp_replace(F.regexp_replace(text, LEADERS, ""), LONE_LINE, "\n$1\n\n")
+    cut = F.transform(F.split(plain, WRAPPED_END), lambda s: F.regexp_replace(normalised(s), LIST_MARK, ""))
+    return F.filter(cut, lambda s: s != "")
+
+
+def _spdx(text: Column, rules) -> Column:
+    """The licences that SPDX lines name, without operators and the exceptions after WITH."""
+    values = F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))
+    names = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(F.regexp_replace(v, r"[ \t]WITH[ \t]+[^ \t)]+", ""), F.lit(SPDX_NAME), F.lit(0))))
+    names = F.filter(names, lambda n: ~n.isin("AND", "OR", "NONE", "NOASSERTION"))
+    known = F.create_map(*[F.lit(x) for pair in ({n.upper(): n for n, _ in rules} | SPDX_NAMES).items() for x in pair])
+    return F.transform(names, lambda n: F.coalesce(F.try_element_at(known, F.upper(n)), n))
+
+
 def scan_licences(
     docs: DataFrame, sentences=SENTENCES, rules=RULES, gap: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -101,19 +131,34 @@ def scan_licences(
 
     Sentences end at a line end or at one of . ; : ! ? before white space, and count if they hold a letter or digit. Null and
     empty texts have none; repeated rows each get a row; texts of any length are scanned whole; an empty table gives an
-    empty result; further columns are ignored. Where two rules hold for overlapping sentences, both are named.
+    empty result; further columns are ignored. Where two rules hold for overlapping sentences, both are named. Counts and
+    sentence_ids are those of the first reading; licences are those of both readings and of SPDX lines.
     """
-    cut = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: normalised(s))
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.filter(cut, lambda s: s != "").alias("sentences"))
-    numbered = F.transform("sentences", lambda s, i: F.struct(i.cast("int").alias("pos"), _identifier(s, sentences).alias("id")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = F.transform(F.split(text, SENTENCE_END), lambda s: normalised(s))
+    pieces = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.filter(cut, lambda s: s != "").alias("sentences"),
+        _wrapped(text).alias("wrapped"),
+        _spdx(text, rules).alias("spdx"),
+    )
+    spots_of = lambda ids: F.filter(
+        F.transform(ids, lambda x, i: F.struct(i.cast("int").alias("pos"), x.alias("id"))), lambda x: x["id"].isNotNull()
+    )
+    # a known sentence may hold a colon or semicolon: what does not stand alone is tried with the next
+    joined = F.transform("wrapped", lambda s, i: F.coalesce(_identifier(s, sentences), _identifier(F.concat_ws(" ", s, F.get("wrapped", i + 1)), sentences)))
     spotted = pieces.select(
-        "doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.filter(numbered, lambda x: x["id"].isNotNull()).alias("spots")
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        spots_of(F.transform("sentences", lambda s: _identifier(s, sentences))).alias("spots"),
+        spots_of(joined).alias("wrapped"),
+        "spdx",
     )
-    found = F.array(*[F.when(_holds(F.col("spots"), rule, gap), F.lit(name)) for name, rule in rules])
+    found = [F.when(_holds(F.col("spots"), rule, gap) | _holds(F.col("wrapped"), rule, gap), F.lit(name)) for name, rule in rules]
     return spotted.select(
         "doc_id",
         "n_sentences",
         F.size("spots").cast("long").alias("n_known"),
         F.transform("spots", lambda s: s["id"]).alias("sentence_ids"),
-        F.array_sort(F.array_distinct(F.array_compact(found))).alias("licences"),
+        F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), "spdx"))).alias("licences"),
     )

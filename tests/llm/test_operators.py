@@ -482,6 +482,56 @@ def test_licences(spark):
     assert scan_licences(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    from corpusloom.llm.licences import scan_licences
+
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+    mit = """Copyright (c) 2020 A Person
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions.
+2. Redistributions in binary form must reproduce the above
+   copyright notice.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS"."""
+    led = lambda text, mark: "\n".join((mark + " " + x).rstrip() for x in text.split("\n"))
+    split = apache.replace("Licensed under the Apache License, Version 2.0 (the \"License\");\ny", "Y")
+    texts = [apache, split, mit, gpl, bsd, "/*\n" + led(mit, " *") + "\n */", led(gpl, "#"), led(split, "//")]
+    texts += ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: (Apache-2.0 OR GPL-3.0-only WITH Some-exception) AND Zlib", "SPDX-License-Identifier: mit in text."]
+    got = [r["licences"] for r in scan_licences(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:5] == [["Apache-2.0"], ["Apache-2.0"], ["MIT"], ["GPL"], ["BSD-2-Clause"]]
+    assert got[5:] == [["MIT"], ["GPL"], ["Apache-2.0"], ["MIT"], ["Apache-2.0", "GPL-3.0", "Zlib"], ["MIT"]]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from pyspark.sql import functions as F
