@@ -40,6 +40,9 @@ GOOD_NAMES = frozenset("article content entry main post story body text hentry b
 OWN_NAMES = frozenset("article content entry main post story".split())
 LAYOUT = frozenset("has with without no is category tag type status format".split())
 REMARKS = frozenset("comment comments reply replies respond".split())
+HOLDERS = frozenset("slot bar list box wrap wrapper container area block holder inner outer body panel unit item zone section".split())
+# their names are slugs of headings or styles of a text
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p span".split())
 NAME_PART = re.compile(r"[A-Za-z]+?(?=[A-Z]|[^A-Za-z]|\Z)")
 
 LEAST_PARAGRAPH = 25
@@ -62,15 +65,22 @@ def _parts(name: str) -> list[str]:
 
 def _junk_name(name: str, names: frozenset) -> bool:
     """Whether a class name or id names a part around the article: by its last word, which says what a thing is
-    (main-nav, article-comments), or by any word where none belongs to the article. Names that tell of a layout or a
+    (main-nav, article-comments), after words for a mere holder (cookie-bar, comment-list). Names that tell of a layout or a
     topic (has-sidebar, page-with-comments, tag-legal) say nothing, and an article's own header is part of it."""
     parts = _parts(name)
     if not parts or parts[0] in LAYOUT or "with" in parts:
         return False
     own = not OWN_NAMES.isdisjoint(parts)
-    if parts[-1] in names and not (own and parts[-1] == "header"):
-        return True
-    return not own and not names.isdisjoint(parts)
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return parts[-1] in names and not (own and parts[-1] == "header")
+
+
+def _in_article(node: Node) -> bool:
+    above = node.parent
+    while above is not None and above.tag not in ("article", "main") and not re.search(r"""\brole\s*=\s*["']?main\b""", above.attrs, re.I):
+        above = above.parent
+    return above is not None
 
 
 def _junk(node: Node) -> bool:
@@ -88,7 +98,8 @@ def _junk(node: Node) -> bool:
     for name, value in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(_junk_name(x, names) for x in value.split()):
+            slug = node.tag in TEXT_TAGS or name == "id" and node.tag == "section" and _in_article(node)
+            if not slug and any(_junk_name(x, names) for x in value.split()):
                 return True
         elif name == "role" and value.lower() in JUNK_ROLES:
             return True

@@ -364,6 +364,16 @@ def test_pages(spark):
         assert r["text"] == "\n\n".join(x for x in parts if x)
 
 
+def test_slugs_inside_the_article():
+    from corpusloom.llm.pagetext import main_text
+
+    words = "The river rose again in spring, and the mill, as ever, stood in water to the second step."
+    inside = f"<section id='side-effects'><h2 id='related-work'>A</h2><p class='legal-text'>{words}</p></section><section id='search'><h2>B</h2><p>{words}</p></section>"
+    for tag in ("article", "main"):
+        assert main_text(f"<body><{tag}>{inside}</{tag}></body>") == f"A\n\n{words}\n\nB\n\n{words}"
+    assert main_text(f"<body><div><h2 id='social-impact'>A</h2><p>{words}</p><div id='search-algorithms'><p>{words}</p></div></div></body>") == f"A\n\n{words}\n\n{words}"
+
+
 def test_names_around_the_article():
     from corpusloom.llm.pagetext import main_text
 
