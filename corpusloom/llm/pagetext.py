@@ -50,12 +50,12 @@ LINK_LIMIT = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "junk", "chars", "linked", "links")
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "junk", "chars", "linked", "links", "whole", "marks")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
-        self.score, self.junk, self.chars, self.linked, self.links = 0.0, False, 0, 0, 0
+        self.score, self.junk, self.chars, self.linked, self.links, self.whole, self.marks = 0.0, False, 0, 0, 0, False, 0
 
 
 def _parts(name: str) -> list[str]:
@@ -85,6 +85,8 @@ def _in_article(node: Node) -> bool:
 
 def _junk(node: Node) -> bool:
     """Whether an element is a part of the page around the article, by its name, role, classes or being hidden."""
+    if node.whole:
+        return False
     if node.tag in JUNK_TAGS:
         return True
     if node.tag == "header":
@@ -168,6 +170,33 @@ def parse(html: str) -> Node:
     return root
 
 
+def _free_forms(root: Node) -> None:
+    """Marks the forms and fieldsets that hold most of the page's paragraph text: they are plain containers."""
+    forms, order, stack = [], [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("form", "fieldset"):
+            forms.append(node)
+        elif node.parent is not None and _junk(node):
+            continue
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    if not forms:
+        return
+    held: dict[int, int] = {}
+    chars: dict[int, int] = {}
+    for node in reversed(order):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        inner = [c for c in node.children if isinstance(c, Node)]
+        chars[id(node)] = own + sum(chars.get(id(c), 0) for c in inner)
+        if node.tag in ("p", "pre"):
+            held[id(node)] = chars[id(node)] if chars[id(node)] >= LEAST_PARAGRAPH else 0
+        else:
+            held[id(node)] = (own if own >= LEAST_PARAGRAPH and node.tag in BLOCK else 0) + sum(held.get(id(c), 0) for c in inner)
+    for form in forms:
+        form.whole = held[id(form)] > 0.5 * held[id(root)]
+
+
 def _measure(root: Node) -> None:
     """Points, characters and linked characters of every element outside the junk; without recursion."""
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
@@ -299,6 +328,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _free_forms(root)
     _measure(root)
     return "\n\n".join(_blocks(_chosen(root)))
 

@@ -374,6 +374,16 @@ def test_slugs_inside_the_article():
     assert main_text(f"<body><div><h2 id='social-impact'>A</h2><p>{words}</p><div id='search-algorithms'><p>{words}</p></div></div></body>") == f"A\n\n{words}\n\n{words}"
 
 
+def test_form_around_the_page():
+    from corpusloom.llm.pagetext import main_text
+
+    words = "The river rose again in spring, and the mill, as ever, stood in water to the second step."
+    body = f"<input name=q><select><option>One</select><div><h1>Mill</h1><p>{words}</p><p>{words}</p></div><button>Send</button>"
+    for page in (f"<body><form id='aspnetForm'>{body}</form></body>", f"<body><form><fieldset>{body}</fieldset></form></body>"):
+        assert main_text(page) == f"Mill\n\n{words}\n\n{words}"
+    assert main_text(f"<body><div><p>{words}</p><form><p>{words[:40]}</p></form></div></body>") == words
+
+
 def test_names_around_the_article():
     from corpusloom.llm.pagetext import main_text
 
