@@ -219,16 +219,20 @@ def _measure(root: Node) -> None:
                     node.chars += child.chars
                     node.linked += child.linked
                     node.links += child.links
+                    node.marks += child.marks
             else:
                 n = len(child.strip())
                 own += n
                 node.chars += n
+        if node.tag == "h1" and node.chars:
+            node.marks += 1
         if node.tag == "a":
             node.linked, node.links = node.chars, node.links + 1
         if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") or own >= LEAST_PARAGRAPH and node.tag in BLOCK:
             counted = node.chars if node.tag in ("p", "pre") else own
             if counted >= LEAST_PARAGRAPH:
                 commas = sum(c.count(",") for c in _texts(node))
+                node.marks += node.linked <= LINK_LIMIT * node.chars
                 points = (1 + commas + min(counted / 100, 3)) * (1 - node.linked / max(1, node.chars))
                 above, level = (node.parent, 1) if node.tag in ("p", "pre", "li", "td", "dd") else (node, 1)
                 while above is not None:
@@ -263,7 +267,8 @@ def _elements(root: Node):
 
 
 def _chosen(root: Node) -> list[Node]:
-    """The best container, or the article or main around it, with the siblings that come near it, in page order."""
+    """The article or main around the best container, with the siblings that come near it, in page order; where there is
+    none, the common ancestor of the paragraphs and the title."""
     best = None
     for node in _elements(root):
         if not node.junk and node.tag in BLOCK and node.tag not in ("p", "li", "tr", "html") and node.score > 0 and (best is None or node.score > best.score):
@@ -275,6 +280,13 @@ def _chosen(root: Node) -> list[Node]:
         if above.tag in ("article", "main"):
             outer = above
         above = above.parent
+    if outer.tag not in ("article", "main"):
+        # no floor of points: what holds all paragraphs and the title, without its junk
+        node, inner = root, root
+        while inner is not None and inner.tag not in ("p", "pre", "h1", "li", "tr", "td", "dd"):
+            node = inner
+            inner = next((c for c in node.children if isinstance(c, Node) and not c.junk and c.marks == root.marks), None)
+        return [node]
     # a page of several articles: the container that holds them all
     if outer.parent is None:
         return [outer]

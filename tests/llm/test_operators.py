@@ -384,6 +384,15 @@ def test_form_around_the_page():
     assert main_text(f"<body><div><p>{words}</p><form><p>{words[:40]}</p></form></div></body>") == words
 
 
+def test_short_sections_beside_the_longest():
+    from corpusloom.llm.pagetext import main_text
+
+    words, short = "The river rose again in spring, and the mill, as ever, stood in water to the second step.", "Only one short paragraph stands here, of sixty letters or so."
+    long = f"<div><h2>Long</h2>{f'<p>{words}</p>' * 9}</div>"
+    page = f"<body><div class='nav'><p>{words}</p></div><h1>Mill</h1>{long}<div><h2>Short</h2><p>{short}</p></div><ul><li>One<li>Two</ul><p>End.</p><footer>{words}</footer></body>"
+    assert main_text(page).split("\n\n") == ["Mill", "Long", *[words] * 9, "Short", short, "One", "Two", "End."]
+
+
 def test_names_around_the_article():
     from corpusloom.llm.pagetext import main_text
 
