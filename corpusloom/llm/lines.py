@@ -1,94 +1,101 @@
 """Line de-duplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are sequences of words. Two lines are alike if they are equal or one edit of one word apart (a word put in, left
-out or exchanged), which for the five words that a fuzzy match needs at least is a similarity of 0.8 or more. Every
-line emits its deletion variants (itself, and itself without each of its words) as hashed keys; equal keys meet, the
-edit distance of what met is verified on the words, and the earliest line stays.
+Lines are sequences of words. Two lines are alike if they are equal or, with ``least_words`` words or more, one edit of
+one word apart (a word put in, left out or exchanged), which for five words is a similarity of 0.8 or more. Every line
+emits its deletion variants (itself, and itself without each of its words) as hashed keys; equal keys meet, the edit
+distance of what met is verified on the words, and the earliest line stays.
 
 Two such lines always share their first or their last half, so distinct lines whose halves nobody shares, which is
-most, need not emit variants. Within a key no pairs are formed: each member only needs the key's earliest lines.
-
-With ``words_per_edit`` the bound grows with the line: the longer of two lines may have one edit for each so many of its
-words (5: a similarity of 0.8 at any length). One edit breaks at most two pairs of neighbouring words, so two such lines
-share a pair within the first few of their pairs in any common order. The order is by frequency, as a sketch of a sample
-tells it, so frequent pairs hardly become keys; it decides the cost and never the result.
+most, need not emit variants. A key is an exclusive or over hashes of words with their places; the keys of all variants
+come from running ones over the line, so a line of n words costs n log n. Within a key no pairs are formed: each member
+only needs the key's earliest lines. Expressions go into ``explode_outer``: ``explode`` would have them evaluated twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.rows import keyed_rows
 from corpusloom.runtime import discard, materialize
 
 BLANK = r"[\t-\r ]+"
-FUZZY_WORDS = 5
-WHOLE, WITHOUT = 0, 1
-SKETCH, SKETCH_DOCS = 1 << 16, 10_000
+PER_TASK = 10_000  # lines compared with one copy of a frequent earlier line
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, norm: the lines that hold a word, white space made one space."""
+def lines_of(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """row, line_no, norm: the lines that hold a word, white space made one space."""
     # most lines hold single spaces only; the pattern is for the others
     odd = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\x0c")
-    tidy = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.when(odd(x), F.regexp_replace(x, BLANK, " ")).otherwise(x)))
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(tidy).alias("line_no", "norm"))
-    return cut.where("norm <> ''")
+    tidy = F.transform(F.split(F.col(f"doc.`{text_col}`"), "\n"), lambda x: F.trim(F.when(odd(x), F.regexp_replace(x, BLANK, " ")).otherwise(x)))
+    return rows.select("row", F.posexplode_outer(tidy).alias("line_no", "norm")).where("norm <> ''")
+
+
+def _halves(n: str) -> list:
+    """Keys of the first and last half, cut as for this length and, for the longer of two lines, as for one word less."""
+    out = []
+    for m in (n, f"({n} - 1)"):
+        out.append(F.expr(f"xxhash64(slice(w, 1, {m} div 2), {m}, 'first')"))
+        out.append(F.expr(f"xxhash64(slice(w, {n} - ({m} - {m} div 2) + 1, {m} - {m} div 2), {m}, 'last')"))
+    return out
 
 
-def _halves(words: str, n: str) -> list:
+def _halves(n: str) -> list[Column]:
     """Keys of the first and last half, cut as for this length and, for the longer of two lines, as for one word less."""
     out = []
     for m in (n, f"({n} - 1)"):
-        out.append(F.expr(f"xxhash64(slice({words}, 1, {m} div 2), {m}, 'first')"))
-        out.append(F.expr(f"xxhash64(slice({words}, {n} - ({m} - {m} div 2) + 1, {m} - {m} div 2), {m}, 'last')"))
+        out.append(F.expr(f"xxhash64(slice(w, 1, {m} div 2), {m}, 'first')"))
+        out.append(F.expr(f"xxhash64(slice(w, {n} - ({m} - {m} div 2) + 1, {m} - {m} div 2), {m}, 'last')"))
     return out
 
 
-def _first_lines(docs: DataFrame, halves: bool = True, **names) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, hashed occurrences, distinct lines): the last with the earliest place of each and the keys of its halves."""
-    lines = lines_of(docs, **names)
-    words = lines.select("doc_id", "line_no", F.expr("xxhash64(norm)").alias("h1"), F.expr("xxhash64(norm, 1)").alias("h2"), F.split("norm", " ").alias("w"))
-    keys = F.when(F.size("w") >= FUZZY_WORDS, F.array(*_halves("w", "size(w)"))) if halves else F.lit(None).cast("array<bigint>")
-    occurrences = materialize(words.select("h1", "h2", F.struct("doc_id", "line_no").alias("place"), keys.alias("halves")))
-    distinct = occurrences.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
-    return lines, occurrences.select("h1", "h2", "place"), materialize(distinct)
+def _running(items: str) -> str:
+    """SQL of the running exclusive or of an array: each pass doubles the reach."""
+    passes = f"sequence(0, greatest(0, cast(ceil(log2(size({items}))) AS int) - 1))"
+    shifted = "concat(array_repeat(0L, shiftleft(1, k)), slice(s, 1, greatest(0, size(s) - shiftleft(1, k))))"
+    return f"IF(size({items}) < 2, {items}, aggregate({passes}, {items}, (s, k) -> zip_with(s, {shifted}, (x, y) -> x ^ coalesce(y, 0L))))"
+
 
+def _variants(texts: DataFrame) -> DataFrame:
+    """place, key, at: each line's own key (at -1) and those without the word at each place (from 0).
 
-def _shared_halves(distinct: DataFrame) -> DataFrame:
-    """Places of the distinct lines that share a half with another."""
-    keyed = distinct.where("halves IS NOT NULL").select("place", F.explode(F.array_distinct("halves")).alias("key"))
-    common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keyed.join(common, "key", "left_semi").select("place").distinct()
+    A key is the exclusive or of the hashes of words with their places. Without word i, those before it keep their places and
+    those after it move up by one: the running key to i of the one, and what is left of the other after i.
+    """
+    placed = texts.select("place", F.expr("transform(w, (x, i) -> xxhash64(x, i))").alias("a"), F.expr("transform(w, (x, i) -> xxhash64(x, i - 1))").alias("b"))
+    running = placed.select("place", F.expr(_running("a")).alias("a"), F.expr(_running("b")).alias("b"))
+    whole = "array(named_struct('key', element_at(a, -1), 'at', -1))"
+    shorter = "transform(b, (y, i) -> named_struct('key', IF(i = 0, 0L, a[i - 1]) ^ y ^ element_at(b, -1), 'at', i))"
+    return running.select("place", F.explode_outer(F.expr(f"concat({whole}, {shorter})")).alias("v")).select("place", "v.key", "v.at")
 
 
 def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(place, earlier): distinct lines with an earlier line one edit away, verified on the words."""
-    chosen = _shared_halves(distinct).select(F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"))
-    texts = materialize(
-        lines.join(chosen, (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi").select(
-            F.struct("doc_id", "line_no").alias("place"), F.split("norm", " ").alias("w")
-        )
-    )
-    # a key is the hash of the words that are left; the position that was left out makes two of one length comparable
-    whole = F.expr("named_struct('key', xxhash64(w, size(w)), 'at', -1)")
-    shorter = F.expr("transform(sequence(1, size(w)), i -> named_struct('key', xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w))), size(w) - 1), 'at', i))")
-    emitted = materialize(texts.select("place", F.explode(F.concat(F.array(whole), shorter)).alias("v")).select("place", "v.key", "v.at"))
-    # earliest of each key and position: an exchange of the word there; earliest whole line and earliest longer one: a word put in or left out
+    keyed = distinct.where("halves IS NOT NULL").select("place", F.explode_outer("halves").alias("half"))
+    shared = keyed.groupBy("half").agg(F.count("*").alias("members")).where("members > 1").select("half")
+    chosen = keyed.join(shared, "half", "left_semi").select("place").distinct()
+    placed = lines.select(F.struct("row", "line_no").alias("place"), "norm").join(chosen, "place", "left_semi")
+    texts = materialize(placed.select("place", F.split("norm", " ").alias("w")))
+    emitted = materialize(_variants(texts))
+    # earliest of each key and place: an exchange of the word there; earliest whole line and earliest longer one: a word put in or left out
     slots = materialize(emitted.groupBy("key", "at").agg(F.min("place").alias("least"), F.count("*").alias("members")))
-    ends = slots.groupBy("key").agg(
-        F.min(F.when(F.col("at") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("least"))).alias("longer"), F.count("*").alias("n")
-    )
-    same = emitted.where("at > 0").join(slots.where("at > 0 AND members > 1"), ["key", "at"]).where("least < place").select("place", F.col("least").alias("earlier"))
+    ends = slots.groupBy("key").agg(F.min(F.when(F.col("at") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("least"))).alias("longer"))
+    same = emitted.where("at >= 0").join(slots.where("at >= 0 AND members > 1"), ["key", "at"]).where("least < place").select("place", F.col("least").alias("earlier"))
     other = (
         emitted.join(ends.where("whole IS NOT NULL AND longer IS NOT NULL"), "key")
         .select("place", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")).alias("earlier"))
         .where("earlier < place")
     )
-    met = same.unionByName(other).distinct()
-    a = texts.select("place", F.col("w").alias("a"))
-    b = texts.select(F.col("place").alias("earlier"), F.col("w").alias("b"))
-    return met.join(a, "place").join(b, "earlier").where(_one_edit("a", "b")).groupBy("place").agg(F.min("earlier").alias("earlier"))
+    met = materialize(same.unionByName(other).distinct())
+    # one line may be the earliest of very many: it is copied to as many tasks as they need
+    loads = met.groupBy("earlier").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("parts"))
+    salted = met.join(loads, "earlier").select("place", "earlier", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int").alias("salt"))
+    copies = texts.select(F.col("place").alias("earlier"), F.col("w").alias("b")).join(loads, "earlier")
+    copies = copies.select("earlier", "b", F.explode_outer(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    both = salted.join(texts.select("place", F.col("w").alias("a")), "place").join(copies, ["earlier", "salt"])
+    near = materialize(both.where(_one_edit("a", "b")).select("place").distinct())
+    discard(texts, emitted, slots, met)
+    return near
 
 
 def _one_edit(a: str, b: str):
@@ -103,112 +110,62 @@ def _one_edit(a: str, b: str):
     return F.expr(f"abs({n} - {m}) <= 1 AND NOT ({n} = {m} AND {head} = {n}) AND {rest_a} = {rest_b}")
 
 
-PAIRS = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> xxhash64(x, y))"
-
-
-def _sketch(docs: DataFrame, **names) -> str:
-    """SQL of an array: for each bucket of hashed word pairs the magnitude of its count in a sample of the documents."""
-    rows = docs.count()
-    sample = docs.sample(min(1.0, SKETCH_DOCS / max(1, rows)), 1) if rows > SKETCH_DOCS else docs
-    pairs = lines_of(sample, **names).select(F.split("norm", " ").alias("w")).where("size(w) > 1").select(F.explode(F.expr(PAIRS)).alias("h"))
-    sizes = [0] * SKETCH
-    for b, n in pairs.groupBy(F.expr(f"cast(pmod(h, {SKETCH}) AS int)").alias("b")).count().collect():
-        sizes[b] = n.bit_length()
-    return f"cast(split('{','.join(map(str, sizes))}', ',') AS array<int>)"
-
-
-def _pair_keys(sketch: str, per: int):
-    """The rarest word pairs of a line, of which a line within the bound has one among its own rarest.
-
-    Of n words with e = n div per edits n - 1 - 2e pairs are left at least; the bound of a longer line, at most at the next multiple
-    of ``per``, can leave fewer by one. As many keys as pairs that may break, and one more.
-    """
-    n = "size(w)"
-    ranked = F.expr(f"transform({PAIRS}, h -> shiftleft(cast(get({sketch}, cast(pmod(h, {SKETCH}) AS int)) AS bigint), 56) | (h & 72057594037927935))")
-    up = f"cast(ceil({n} / {per}) AS int)"
-    left = F.expr(f"greatest(1, least({n} - 1 - 2 * ({n} div {per}), {up} * {per} - 1 - 2 * {up}))")
-    return F.array_distinct(F.slice(F.sort_array(ranked), F.lit(1), (F.size("w") - left).cast("int")))
-
-
-def _within(per: int):
-    """Whether word arrays a and b are within the bound: each word of the two becomes a character, for the built-in distance."""
-    bound = f"cast(greatest(size(a), size(b)) div {per} AS int)"
-    code = "lpad(hex(array_position(all, x) + IF(array_position(all, x) < 55000, 255, 2303)), 8, '0')"
-    coded = lambda w: f"decode(unhex(array_join(transform({w}, x -> {code}), '')), 'UTF-32')"
-    return F.expr(f"abs(size(a) - size(b)) <= {bound} AND levenshtein({coded('a')}, {coded('b')}, {bound}) >= 0")
-
-
-def _within_bound(docs: DataFrame, lines: DataFrame, distinct: DataFrame, per: int, **names) -> DataFrame:
-    """(place, earlier): distinct lines with an earlier line within one edit for each ``per`` words, verified on the words."""
-    # lines travel as strings: arrays of words are three times as large
-    texts = lines.select(F.struct("doc_id", "line_no").alias("place"), "norm").where(F.size(F.split("norm", " ")) >= FUZZY_WORDS)
-    own = texts.join(distinct.select("place"), "place", "left_semi").select("place", F.split("norm", " ").alias("w"))
-    keyed = own.select("place", F.size("w").alias("n"), F.explode(_pair_keys(_sketch(docs, **names), per)).alias("key"))
-    group = Window.partitionBy("key")
-    met = keyed.withColumn("first", F.min("place").over(group)).withColumn("members", F.count("*").over(group)).where("members > 1")
-    met = materialize(met.drop("members"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct())
-        needed = pairs.select("place").union(pairs.select("earlier")).distinct()
-        words = materialize(texts.join(needed, "place", "left_semi"))
-        both = pairs.join(words.withColumnRenamed("norm", "x"), "place").join(words.select(F.col("place").alias("earlier"), F.col("norm").alias("y")), "earlier")
-        split = both.select("place", "earlier", F.split("x", " ").alias("a"), F.split("y", " ").alias("b"))
-        split = split.withColumn("all", F.array_distinct(F.concat("a", "b")))
-        out = materialize(split.where(_within(per)).groupBy("place").agg(F.min("earlier").alias("earlier")))
-        discard(pairs)
-        discard(words)
-        return out
-
-    # most lines of a large group are like its earliest; only those that are not are compared with all others before them
-    near = verified(met.where("first < place").select("place", F.col("first").alias("earlier")))
-    still = met.where("first < place").join(near.select("place"), "place", "left_anti")
-    others = met.select("key", F.col("place").alias("earlier"), F.col("n").alias("m"))
-    rest = still.join(others, "key").where(f"earlier < place AND earlier > first AND abs(n - m) <= greatest(n, m) div {per}")
-    return near.unionByName(verified(rest.select("place", "earlier")))
-
-
-def repeated_lines(docs: DataFrame, words_per_edit: int | None = None, **names) -> DataFrame:
-    """(doc_id, line_no): lines that equal or nearly equal an earlier one (smaller doc_id, or earlier in the same document)."""
-    lines, occurrences, distinct = _first_lines(docs, halves=words_per_edit is None, **names)
-    near = materialize(_near(lines, distinct)) if words_per_edit is None else _within_bound(docs, lines, distinct, words_per_edit, **names)
+def repeated_lines(rows: DataFrame, least_words: int = 5, text_col: str = "text") -> DataFrame:
+    """(row, line_no): lines that equal or nearly equal an earlier one (of a smaller row, or earlier in the same row)."""
+    lines = lines_of(rows, text_col)
+    words = lines.select("row", "line_no", F.expr("xxhash64(norm)").alias("h1"), F.expr("xxhash64(norm, 1)").alias("h2"), F.split("norm", " ").alias("w"))
+    halves = F.when(F.size("w") >= max(2, least_words), F.array_distinct(F.array(*_halves("size(w)"))))
+    occurrences = materialize(words.select("row", "line_no", "h1", "h2", halves.alias("halves")))
+    firsts = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("row", "line_no", "halves")).alias("x"), F.count("*").alias("copies"))
+    distinct = materialize(firsts.select("h1", "h2", F.struct("x.row", "x.line_no").alias("place"), "copies", "x.halves"))
+    near = _near(lines, distinct).withColumn("like", F.lit(True))
     # only lines with copies, or with a like line before, have anything to lose
-    marked = distinct.join(near, "place", "left").where("copies > 1 OR earlier IS NOT NULL").select(
-        F.col("h1").alias("k1"), F.col("h2").alias("k2"), "place", F.col("earlier").isNotNull().alias("all")
-    )
-    met = occurrences.select("h1", "h2", F.col("place").alias("own")).join(marked, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    return met.where(F.col("all") | (F.col("own") > F.col("place"))).select("own.doc_id", "own.line_no")
+    marked = distinct.join(near, "place", "left").where("copies > 1 OR like").select("h1", "h2", "place", F.coalesce("like", F.lit(False)).alias("like"))
+    met = occurrences.join(marked, ["h1", "h2"]).where(F.col("like") | (F.struct("row", "line_no") > F.col("place")))
+    return met.select("row", "line_no")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
+def line_report(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines (lines that hold a word), n_removed, removed (their numbers from 0, in order).
 
-    Like lines are one edit of a word apart, or with ``words_per_edit`` (3 or more) one for each so many words of the longer line.
-    Blank lines are never removed. Lines of fewer than five words are removed only when equal to an earlier line. Whether
+    Blank lines are never removed. Lines of fewer than ``least_words`` words go only when equal to an earlier line. Whether
     an earlier line goes itself does not matter. Null and empty texts have no lines; an empty table gives an empty
-    result; further columns are ignored. Ids are taken as unique: rows that share an id count as one document.
+    result; further columns are ignored. Rows that share an id are separate documents, ordered as
+    :func:`corpusloom.operators.rows.keyed_rows` says; rows without an id come last and keep their null.
     """
-    names = {"id_col": id_col, "text_col": text_col}
-    gone = repeated_lines(docs, words_per_edit, **names).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed")).withColumnRenamed("doc_id", "_id")
-    counts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.size(F.filter(F.split(text_col, "\n"), lambda x: x.rlike(r"[^\t-\r ]"))), F.lit(0)).cast("long").alias("n_lines"),
-    ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    rows = keyed_rows(docs.select(id_col, text_col), id_col)
+    gone = repeated_lines(rows, least_words, text_col).groupBy("row").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
+    count = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\t-\r ]"))).cast("long")
+    counts = rows.select("row", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), count.alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return counts.join(gone, counts["doc_id"] == gone["_id"], "left").select(
-        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed")
-    )
+    return counts.join(gone, "row", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+
 
+def dedup_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
+    """``docs`` without its repeated lines; text and n_chars change, other columns do not, no document is dropped.
 
-def dedup_lines(docs: DataFrame, words_per_edit: int | None = None) -> DataFrame:
-    """``docs`` without its repeated lines; text and n_chars change, other columns do not, no document is dropped."""
-    gone = repeated_lines(docs, words_per_edit).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
+    Null and empty texts stay as they are; rows that share an id or have none are separate documents, as in
+    :func:`line_report`; further columns, whatever their names, are carried; an empty table gives an empty table.
+    """
+    rows = keyed_rows(docs, "doc_id")
+    gone = repeated_lines(rows, least_words).groupBy("row").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    joined = rows.join(gone, "row", "left")
     # one flag a line, up to the last that goes: made from the gaps between those that go
-    flags = "flatten(transform(_gone, (x, i) -> concat(array_repeat(true, x - IF(i = 0, -1, _gone[i - 1]) - 1), array(false))))"
-    marked = joined.withColumn("_keep", F.expr(flags))
-    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> coalesce(get(_keep, i), true)), '\\n')")
-    out = marked.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    flags = "flatten(transform(gone, (x, i) -> concat(array_repeat(true, x - IF(i = 0, -1, gone[i - 1]) - 1), array(false))))"
+    marked = joined.withColumn("keep", F.expr(flags))
+    left = F.expr("array_join(filter(split(doc.text, '\\n'), (x, i) -> coalesce(get(keep, i), true)), '\\n')")
+    return with_text(marked.withColumn("text", F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(left)), docs, F.col("gone").isNotNull())
+
+
+def with_text(rows: DataFrame, docs: DataFrame, changed) -> DataFrame:
+    """The columns of ``docs`` from the struct ``doc``, text taken from the column ``text``; n_chars follows where it changed."""
+    out = []
+    for f in docs.schema:
+        column = F.col(f"doc.`{f.name}`")
+        if f.name == "text":
+            column = F.col("text")
+        elif f.name == "n_chars":
+            column = F.when(changed, F.length("text").cast(f.dataType)).otherwise(column)
+        out.append(column.alias(f.name))
+    return rows.select(*out)

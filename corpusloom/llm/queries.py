@@ -28,7 +28,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_report(load(spark, sf_dir, "documents"), words_per_edit=5)
+    found = line_report(load(spark, sf_dir, "documents"))
     return found.withColumn("removed", F.array_join("removed", ","))
 
 
@@ -107,6 +107,21 @@ def _licence_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op3_line_dedup": r"""
+    WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    raw AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM cut),
+    l AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    d AS (SELECT w, min((doc_id, no)) AS place FROM l GROUP BY w),
+    v AS (SELECT place, len(w) AS n, i, md5(array_to_string(w[:i - 1] || w[i + 1:], ' ')) AS k
+      FROM (SELECT place, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 5)),
+    whole AS (SELECT place, len(w) AS n, md5(array_to_string(w, ' ')) AS k FROM d WHERE len(w) >= 5),
+    near AS (SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY n, i, k) AS least FROM v) WHERE least < place
+      UNION SELECT greatest(v.place, whole.place) FROM v JOIN whole ON v.k = whole.k AND v.n = whole.n + 1),
+    gone AS (SELECT l.doc_id, l.no FROM l JOIN d ON l.w = d.w WHERE (l.doc_id, l.no) > d.place OR d.place IN (SELECT place FROM near)),
+    listed AS (SELECT doc_id, count(*) AS n_removed, string_agg(no::VARCHAR, ',' ORDER BY no) AS removed FROM gone GROUP BY doc_id),
+    counted AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+    SELECT documents.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+    FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op4_mixing": rf"""
     WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix' || doc_id::VARCHAR) AS key FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
