@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, to a similarity of 0.8 at any length, go."""
-    return dedup_lines(docs, words_per_edit=5)
+    """Lines that equal an earlier one, or are one word from it, go."""
+    return dedup_lines(docs)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
