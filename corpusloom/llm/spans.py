@@ -1,11 +1,15 @@
-"""Substring de-duplication: suffix automata over shards of reference passages.
-
-A window is a run of consecutive words of fixed length. Every window is routed by its minimizer, the least hash among
-its word k-grams: equal windows have equal minimizers, so all windows that could be equal meet in one shard, and no
-document has to be streamed past the automata of other shards. Consecutive windows with the same minimizer are one
-passage. Shards whose passages are all alike need no automaton (every later copy repeats the first); in the others, the
-passages are streamed in order through a growing suffix automaton, whose suffix link after each word is the matching
-statistic against all that came before; spans where it reaches the window length are removed.
+"""Substring de-duplication: documents streamed past suffix automata of reference shards.
+
+A window is a run of consecutive words of fixed length. Streaming every document past every shard would cost documents
+times shards, so windows are routed: a window's minimizer, the least hash among its word k-grams, names the one shard that
+can hold its equals. Consecutive windows with one minimizer are a passage. Passages whose minimizer nothing else has repeat
+nothing; the different ones of all others, each with its earliest place, are the reference. They are dealt into shards of
+bounded size. In a shard, the passages are streamed in the order of their places past the suffix automaton of those before,
+whose suffix link after each word is the matching statistic; spans where it reaches the window length repeat what
+stands earlier. Every later copy of a passage repeats all of it: that is its statistic against a shard that holds it.
+
+A frequent k-gram in ever new surroundings would make one minimizer hold more than a shard: its passages are cut again
+by longer k-grams, at last window by window, where nothing but copies of one window can meet.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize
+from corpusloom.operators.rows import keyed_rows
+from corpusloom.runtime import discard, materialize
 
-GRAM = 8  # words of a minimizer's k-gram
+GRAM, LONGER_GRAM = 8, 16  # words of a minimizer's k-gram; of that of a minimizer with too many passages
 CHUNK = 1 << 20  # bytes of text hashed at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
@@ -89,14 +94,16 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-def passages(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(words: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, content hash, first window, number of windows) of each passage of a document; the number is negative
-    for a passage that may repeat windows of its own."""
+    for a passage that may repeat windows of its own. With a k-gram as long as a window, each window is a passage."""
     if len(words) < window:
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    gram = min(GRAM, window)
+    gram = min(gram, window)
     grams, width = _rolled(words, gram), window - gram + 1
     least = _sliding_min(grams, width)
+    if width == 1:
+        return least, grams, np.arange(len(grams)), np.ones(len(grams), dtype=np.int64)
     first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     count = np.diff(np.concatenate((first, [len(least)])))
     # content: differences of a running polynomial over the whole document, brought to the same power
@@ -112,18 +119,21 @@ def passages(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     return least[first], content, first, np.where(own, -count, count)
 
 
+OCCURRENCES = "key long, content long, windows int, row long, start int"
+
+
 def _cut(window: int):
     """Documents to their passages."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).cast(pa.binary())
             parts, held = [], 0
-            for i, text in zip(ids.tolist(), texts):
+            for row, text in zip(rows.tolist(), texts):
                 least, content, first, count = passages(word_hashes(text.as_py() or b""), window)
                 if len(least):
-                    parts.append((least, content, np.full(len(least), i), first, count))
+                    parts.append((least, content, count, np.full(len(least), row), first))
                     held += len(least)
                 if held > 200_000:
                     yield _occurrences(parts)
@@ -135,49 +145,9 @@ def _cut(window: int):
 
 
 def _occurrences(parts) -> pa.RecordBatch:
-    least, content, ids, first, count = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
-        names=["shard", "content", "doc_id", "start", "windows"],
-    )
-
-
-def _sorted_groups(batches, columns: int):
-    """Whole groups of equal first column, one after the other, as lists of arrays; several groups at a time."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        if not len(new[0]):
-            continue
-        held.append(new)
-        if held[0][0][0] == new[0][-1]:
-            continue
-        whole = [np.concatenate([h[i] for h in held]) for i in range(columns)]
-        cut = int(np.searchsorted(whole[0], whole[0][-1]))
-        yield [w[:cut] for w in whole]
-        held = [[w[cut:] for w in whole]]
-    if held:
-        yield [np.concatenate([h[i] for h in held]) for i in range(columns)]
-
-
-def _sort_out(batches):
-    """Passages by shard, content, document and start to repeats (kind 0) and what an automaton must decide (kind 1).
-
-    A passage met by itself repeats nothing, unless it may repeat windows of its own. Of equal passages, all but the first repeat it whole. A shard of several
-    different passages goes on with the first of each.
-    """
-    for shard, content, doc, start, windows in _sorted_groups(batches, 5):
-        new_shard = np.concatenate(([True], shard[1:] != shard[:-1]))
-        new = new_shard | np.concatenate(([True], (content[1:] != content[:-1]) | (windows[1:] != windows[:-1])))
-        group = np.cumsum(new_shard) - 1
-        mixed = (np.bincount(group, weights=new)[group] > 1) | (windows < 0)
-        take = ~new | mixed
-        if take.any():
-            kind = (new & mixed)[take].astype(np.int8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[take]), pa.array(start[take]), pa.array(np.abs(windows[take])), pa.array(shard[take]), pa.array(kind)],
-                names=["doc_id", "start", "windows", "shard", "kind"],
-            )
+    key, content, count, rows, first = (np.concatenate(x) for x in zip(*parts))
+    columns = [key.view(np.int64), content.view(np.int64), count.astype(np.int32), rows, first.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "windows", "row", "start"])
 
 
 class SuffixAutomaton:
@@ -241,70 +211,114 @@ def _fetch(window: int):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            for i, text, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
-                words = word_hashes(text.as_py() or b"")
-                rows = wanted.as_py()
+            for row, text, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
+                words, asked = word_hashes(text.as_py() or b""), wanted.as_py()
+                made = [words[w["start"] : w["start"] + abs(w["windows"]) + window - 1].tobytes() for w in asked]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["shard"] for r in rows], pa.int64()),
-                        pa.array([i] * len(rows), pa.int64()),
-                        pa.array([r["start"] for r in rows], pa.int32()),
-                        pa.array([words[r["start"] : r["start"] + r["windows"] + window - 1].tobytes() for r in rows], pa.binary()),
+                        pa.array([w["key"] for w in asked], pa.int64()),
+                        pa.array([w["content"] for w in asked], pa.int64()),
+                        pa.array([w["windows"] for w in asked], pa.int32()),
+                        pa.array([row] * len(asked), pa.int64()),
+                        pa.array([w["start"] for w in asked], pa.int32()),
+                        pa.array(made, pa.binary()),
                     ],
-                    names=["shard", "doc_id", "start", "words"],
+                    names=["key", "content", "windows", "row", "start", "words"],
                 )
 
     return run
 
 
+PARTS = "key long, content long, windows int, key2 long, content2 long, windows2 int, skip int, words2 binary"
+
+
+def _finer(window: int, gram: int):
+    """Passages to their parts under the minimizers of longer k-grams."""
+
+    def run(batches):
+        for batch in batches:
+            for key, content, windows, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = np.frombuffer(data, dtype=np.uint64)
+                key2, content2, skip, count = passages(words, window, gram)
+                n = len(key2)
+                made = [words[s : s + abs(c) + window - 1].tobytes() for s, c in zip(skip.tolist(), count.tolist())]
+                columns = [np.full(n, key), np.full(n, content), np.full(n, windows, dtype=np.int32), _mixed(key2 + np.uint64(gram)).view(np.int64), content2.view(np.int64)]
+                columns += [count.astype(np.int32), skip.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(made, pa.binary())], names=[c.split(" ")[0] for c in PARTS.split(", ")])
+
+    return run
+
+
 def _streamed(window: int):
-    """Passages by shard, document and start to the runs of windows that repeat an earlier one."""
+    """Passages by shard and place to the runs of their windows (skip, number) that stand earlier."""
+    kind = pa.list_(pa.struct([("skip", pa.int32()), ("n", pa.int32())]))
 
     def run(batches):
         shard, automaton = None, None
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
-            for key, doc, start, words in rows:
+            out = []
+            for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key != shard:
                     shard, automaton = key, SuffixAutomaton()
-                state, run_from, i = 0, None, 0
+                state, since, i, found = 0, None, 0, []
                 for i, word in enumerate(np.frombuffer(words, dtype=np.uint64).tolist()):
                     state, seen = automaton.extend(state, word)
                     if seen >= window:
-                        run_from = i - window + 1 if run_from is None else run_from
-                    elif run_from is not None:
-                        for column, value in zip(out, (doc, start + run_from, i - window + 1 - run_from)):
-                            column.append(value)
-                        run_from = None
-                if run_from is not None:
-                    for column, value in zip(out, (doc, start + run_from, i - window + 2 - run_from)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["doc_id", "start", "windows"]
-            )
+                        since = i - window + 1 if since is None else since
+                    elif since is not None:
+                        found.append({"skip": since, "n": i - window + 1 - since})
+                        since = None
+                if since is not None:
+                    found.append({"skip": since, "n": i - window + 2 - since})
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, 7)), pa.array(out, kind)], names=["key", "content", "windows", "row", "start", "runs"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, windows): runs of windows of each document that also start earlier in the corpus."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = texts.mapInArrow(_cut(window), "shard long, content long, doc_id long, start int, windows int")
-    sorted_out = materialize(
-        cut.repartition("shard")
-        .sortWithinPartitions("shard", "content", "windows", "doc_id", "start")
-        .mapInArrow(_sort_out, "doc_id long, start int, windows int, shard long, kind byte")
-    )
-    plain = sorted_out.where("kind = 0").select("doc_id", "start", "windows")
-    wanted = sorted_out.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start", "windows")).alias("wanted"))
-    fetched = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(window), "shard long, doc_id long, start int, words binary")
-    streamed = (
-        fetched.repartition("shard")
-        .sortWithinPartitions("shard", "doc_id", "start")
-        .mapInArrow(_streamed(window), "doc_id long, start int, windows int")
-    )
-    return plain.unionByName(materialize(streamed))
+SAME = ["key", "content", "windows"]
+
+
+def _live(met: DataFrame) -> DataFrame:
+    """Occurrences whose minimizer others have, too, or that may repeat windows of their own."""
+    keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("windows").alias("least")).where("n > 1 OR least < 0").select("key")
+    return met.join(keys, "key", "left_semi")
+
+
+def _firsts(met: DataFrame) -> DataFrame:
+    """Each different passage at its earliest place; copies are counted together before they are shuffled."""
+    return met.groupBy(*SAME).agg(F.min(F.struct("row", "start")).alias("at")).select(*SAME, "at.row", "at.start")
+
+
+def repeated_spans(rows: DataFrame, window: int, per_shard: int = 50_000) -> DataFrame:
+    """(row, start, windows): runs of windows of each row of (row, text) that also start earlier. A shard holds about ``per_shard`` words."""
+    met = materialize(rows.mapInArrow(_cut(window), OCCURRENCES))
+    live = materialize(_live(met))
+    discard(met)
+    wanted = _firsts(live).groupBy("row").agg(F.collect_list(F.struct(*SAME, "start")).alias("wanted"))
+    reference = materialize(rows.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_fetch(window), f"{OCCURRENCES}, words binary"))
+    for gram in (min(LONGER_GRAM, window), window):
+        hot = materialize(reference.groupBy("key").agg(F.sum(F.length("words") / 8).alias("n")).where(F.col("n") > per_shard / 4).select("key"))
+        if hot.isEmpty():
+            break
+        parts = materialize(reference.join(hot, "key", "left_semi").select(*SAME, "words").mapInArrow(_finer(window, gram), PARTS))
+        again = live.join(parts.drop("words2"), SAME).select(F.col("key2").alias("key"), F.col("content2").alias("content"), F.col("windows2").alias("windows"), "row", (F.col("start") + F.col("skip")).alias("start"))
+        again = materialize(_live(again))
+        words = parts.select(F.col("key2").alias("key"), F.col("content2").alias("content"), F.col("windows2").alias("windows"), "words2").groupBy(*SAME).agg(F.first("words2").alias("words"))
+        live = live.join(hot, "key", "left_anti").unionByName(again)
+        cut = materialize(reference.join(hot, "key", "left_anti").unionByName(_firsts(again).join(words, SAME)))
+        discard(reference, parts)
+        reference = cut
+    held = reference.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, int(held // per_shard)))).alias("shard")
+    sharded = reference.select(shard, "words", *SAME, "row", "start").repartition("shard").sortWithinPartitions("shard", "row", "start")
+    matched = materialize(sharded.mapInArrow(_streamed(window), f"{OCCURRENCES}, runs array<struct<skip:int,n:int>>"))
+    first = matched.select(*SAME, F.struct("row", "start").alias("first"), "runs")
+    whole = F.expr("array(named_struct('skip', 0, 'n', abs(windows)))")
+    spans = live.join(first, SAME).select("row", "start", F.explode_outer(F.when(F.struct("row", "start") == F.col("first"), F.col("runs")).otherwise(whole)).alias("x"))
+    out = materialize(spans.where("x IS NOT NULL").select("row", (F.col("start") + F.col("x.skip")).alias("start"), F.col("x.n").alias("windows")))
+    discard(reference, matched)
+    return out
 
 
 def _kept(window: int):
@@ -330,18 +344,16 @@ def _kept(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window over it, a run of ``window`` consecutive words, also starts earlier: in a document of a
     smaller doc_id, or earlier in the same one. Windows are judged on the input. Null and empty texts have no words; texts
-    shorter than a window lose nothing; an empty table gives an empty result; further columns are ignored. Ids are
-    taken as unique. Words are compared by 64-bit hashes, windows by the hashes of all their words.
+    shorter than a window lose nothing; an empty table gives an empty result; further columns are ignored. Rows that share an
+    id or have none are documents of their own, in the order of :func:`corpusloom.operators.rows.keyed_rows` (null ids
+    last): of equal rows, one keeps its words. Words are compared by 64-bit hashes, windows by the hashes of all their words.
     """
-    spans = repeated_spans(docs, window, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return (
-        texts.join(spans, "doc_id", "left")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string")
-    )
+    rows = keyed_rows(docs.select(id_col, text_col), id_col).select("row", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"))
+    spans = repeated_spans(rows.select("row", "text"), window, per_shard).groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    joined = rows.join(spans, "row", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string")
