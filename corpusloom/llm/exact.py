@@ -1,9 +1,10 @@
-"""Exact de-duplication against a minimal perfect hash over the digests already known.
+"""Exact de-duplication against a minimal perfect hash over historical distinct digests.
 
-The digests that occur more than once (or those of a given history) are dealt into shards. Each shard becomes one
-minimal perfect hash: a displacement per bucket of keys sends every known digest to its own slot, and the slot holds
-the full digest and the locator of the winning row. Look-ups compare all 32 bytes, so a digest that was never built
-in is always recognised as a stranger; strangers are grouped among themselves.
+History is a given table of digests or, for a table by itself, the digests of its later half of rows: since the largest id
+stays, what stands there wins over all that comes before. Its digests are dealt into shards. Each shard becomes one
+minimal perfect hash: a displacement per bucket of keys sends every digest to its own slot, and the slot holds the full
+digest and the locator of the winning row. Look-ups compare all 32 bytes, so a digest that was never built in is always
+recognised as a stranger; repeats of history are removed, strangers are grouped among themselves.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.rows import keyed_rows
 from corpusloom.runtime import materialize
 
-SLOT = np.dtype([("digest", "S32"), ("winner", "<i8"), ("copies", "<i8")])
+#: row and id of the winner (an id may be missing) and the copies that history counted.
+SLOT = np.dtype([("digest", "<u8", 4), ("row", "<i8"), ("id", "<i8"), ("named", "?"), ("copies", "<i8")])
 PER_BUCKET = 4
 
 
@@ -31,8 +34,8 @@ def _slots(words: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) % np.uint64(n)
 
 
-def build_table(digests: list[bytes], winners: np.ndarray, copies: np.ndarray) -> tuple[bytes, bytes]:
-    """(displacements, slots) of a minimal perfect hash over distinct 32-byte digests."""
+def build_table(digests: list[bytes], winners: pd.DataFrame) -> tuple[bytes, bytes]:
+    """(displacements, slots) of a minimal perfect hash over distinct 32-byte digests, with the row, id and copies of each."""
     n = len(digests)
     words = _words(digests)
     buckets = max(1, n // PER_BUCKET)
@@ -64,52 +67,50 @@ def build_table(digests: list[bytes], winners: np.ndarray, copies: np.ndarray) -
                 break
             first += 64
     slots = np.zeros(n, dtype=SLOT)
-    slots["digest"][place] = np.array(digests, dtype="S32")
-    slots["winner"][place], slots["copies"][place] = winners, copies
+    slots["digest"][place] = words
+    slots["row"][place], slots["copies"][place] = winners["row"].fillna(0), winners["copies"]
+    slots["id"][place], slots["named"][place] = winners["id"].fillna(0), winners["id"].notna()
     return seeds.tobytes(), slots.tobytes()
 
 
-def look_up(digests: list[bytes], seeds: bytes, slots: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known, winner, copies) of each digest; known only where all 32 bytes agree."""
+def look_up(digests: list[bytes], seeds: bytes, slots: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(slot of each digest or -1, all slots); known only where all 32 bytes agree."""
     table, shift = np.frombuffer(slots, dtype=SLOT), np.frombuffer(seeds, dtype=np.uint32)
     words = _words(digests)
     at = _slots(words, shift[(words[:, 0] % np.uint64(len(shift))).astype(np.int64)].astype(np.uint64), len(table)).astype(np.int64)
-    # compared as numbers: byte strings of this kind would lose trailing zero bytes
-    stored = np.frombuffer(slots, dtype=np.dtype([("digest", "<u8", 4), ("winner", "<i8"), ("copies", "<i8")]))
-    known = (stored["digest"][at] == words).all(axis=1)
-    return known, stored["winner"][at], stored["copies"][at]
+    return np.where((table["digest"][at] == words).all(axis=1), at, -1), table
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    seeds, slots = build_table(pdf["digest"].tolist(), pdf["winner"].to_numpy(), pdf["copies"].to_numpy())
+    seeds, slots = build_table(pdf["digest"].tolist(), pdf)
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "seeds": [seeds], "slots": [slots]})
 
 
+FOUND = "row long, doc_id long, digest binary, shard int, slot long, winner long, keep_id long, copies long"
+
+
 def _probe(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    names = [c.split(" ")[0] for c in FOUND.split(", ")]
     if rows.empty:
-        return pd.DataFrame({"doc_id": [], "digest": [], "winner": [], "copies": []})
-    out = rows[["doc_id", "digest"]].copy()
+        return pd.DataFrame({c: [] for c in names})
+    out = rows[["row", "doc_id", "digest", "shard"]].copy()
     if table.empty:
-        return out.assign(winner=pd.array([None] * len(out), dtype="Int64"), copies=pd.array([None] * len(out), dtype="Int64"))
-    known, winner, copies = look_up(rows["digest"].tolist(), bytes(table["seeds"].iloc[0]), bytes(table["slots"].iloc[0]))
-    return out.assign(winner=pd.array(np.where(known, winner, 0), dtype="Int64").copy(), copies=pd.array(copies, dtype="Int64")).assign(
-        winner=lambda d: d["winner"].where(known), copies=lambda d: d["copies"].where(known)
-    )
+        slot, held = np.full(len(out), -1), np.zeros(1, dtype=SLOT)
+    else:
+        slot, held = look_up(rows["digest"].tolist(), bytes(table["seeds"].iloc[0]), bytes(table["slots"].iloc[0]))
+    own = held[slot]
+    known = slot >= 0
+    for name, values, there in (("slot", slot, known), ("winner", own["row"], known), ("keep_id", own["id"], known & own["named"]), ("copies", own["copies"], known)):
+        out[name] = pd.array(values.astype(np.int64), dtype="Int64").copy()
+        out.loc[~there, name] = pd.NA
+    out["doc_id"] = out["doc_id"].astype("Int64")
+    return out[names]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("digest")
-    )
-
-
-def known_digests(rows: DataFrame, least_copies: int = 1) -> DataFrame:
-    """Distinct digests with their winner (largest doc_id) and number of copies; pre-aggregated before the shuffle."""
-    return (
-        rows.groupBy("digest")
-        .agg(F.max("doc_id").alias("winner"), F.count("*").alias("copies"))
-        .where(F.col("copies") >= least_copies)
-    )
+def known_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digest, id, copies of a table's distinct texts: what :func:`exact_dedup` takes as history. The largest id wins."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")
+    return docs.select(F.col(id_col).cast("long").alias("id"), digest).groupBy("digest").agg(F.max("id").alias("id"), F.count("*").alias("copies"))
 
 
 def exact_dedup(
@@ -117,14 +118,25 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``history``: digest, winner, copies of texts known before; by default those that ``docs`` itself repeats, so the
-    row with the largest doc_id of equal texts stays. Null text counts as empty; an empty table gives an empty result;
-    a doc_id that occurs twice gives two rows; further columns are ignored. Memory: one shard's table (about
-    ``per_shard`` slots) and about ``per_task`` look-ups: a shard that a frequent text makes hot is split over as many
-    tasks as its look-ups need, each with its copy of the table.
+    ``history``: digest, id, copies of texts known before (see :func:`known_digests`): rows that repeat one go, their
+    keep_id is its id and their group_size counts the copies there and here; of new equal texts, the row with the largest
+    doc_id stays. Without it, of all equal texts the row with the largest doc_id stays. Null text counts as empty; texts of
+    any length are hashed whole; an empty table gives an empty result; further columns are ignored. Rows that share an id
+    are documents of their own, and one stays; rows without an id count as the largest (see
+    :func:`corpusloom.operators.rows.keyed_rows`). Memory: one shard's table (about ``per_shard`` slots) and about
+    ``per_task`` look-ups: a shard that a frequent text makes hot is split over as many tasks as its look-ups need, each
+    with its copy of the table.
     """
-    rows = materialize(digests(docs, id_col, text_col))
-    known = materialize(history if history is not None else known_digests(rows, 2))
+    keyed = keyed_rows(docs.select(id_col, text_col), id_col)
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
+    rows = materialize(keyed.select("row", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    if history is None:
+        middle = rows.agg(F.percentile_approx("row", 0.5, 1000)).first()[0]
+        later = rows.where(F.col("row") >= F.lit(middle)).groupBy("digest").agg(F.max("row").alias("row"), F.max_by("doc_id", "row").alias("id"))
+        known = later.select("digest", "row", "id", F.lit(0).cast("long").alias("copies"))  # they are counted with all others
+    else:
+        known = history.select("digest", F.lit(None).cast("long").alias("row"), F.col("id").cast("long").alias("id"), F.col("copies").cast("long").alias("copies"))
+    known = materialize(known)
     shards = max(1, -(-known.count() // per_shard), -(-rows.count() // per_task))
     # the digest is uniform, so a part of it deals the shards evenly
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 25, 7)), 16, 10).cast("long"), F.lit(shards)).cast("int")
@@ -132,26 +144,18 @@ def exact_dedup(
     loads = asked.groupBy("shard").count().select("shard", F.ceil(F.col("count") / per_task).cast("int").alias("salts"))
     tables = known.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard int, seeds binary, slots binary")
     spread = tables.join(loads.select("shard", F.col("salts").alias("parts")), "shard").select(
-        "shard", "seeds", "slots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
-    )
-    asked = asked.select("shard", "doc_id", "digest").join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    found = (
-        asked.groupBy("shard", "salt")
-        .cogroup(spread.groupBy("shard", "salt"))
-        .applyInPandas(_probe, "doc_id long, digest binary, winner long, copies long")
-    )
-    # strangers group separately; there are no repeats among them when the history is the table's own
-    strangers = known_digests(rows) if history is not None else None
-    if strangers is not None:
-        own = strangers.select(F.col("digest").alias("d"), F.col("winner").alias("w"), F.col("copies").alias("c"))
-        found = found.join(own, F.col("winner").isNull() & (F.col("digest") == F.col("d")), "left").select(
-            "doc_id", "digest", F.coalesce("winner", "w").alias("winner"), F.coalesce("copies", "c").alias("copies")
-        )
-    keep = F.coalesce("winner", "doc_id")
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"),
-        (keep == F.col("doc_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        "shard", "seeds", "slots", F.explode_outer(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
     )
+    dealt = asked.join(loads, "shard").select("shard", "row", "doc_id", "digest", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"))
+    found = materialize(dealt.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(_probe, FOUND))
+    # repeats of history: counted by slot. Strangers: grouped by themselves
+    members = found.where("slot IS NOT NULL")
+    sizes = members.groupBy("shard", "slot").agg(F.count("*").alias("n"))
+    repeats = members.join(sizes, ["shard", "slot"]).select("row", "doc_id", "digest", "winner", "keep_id", (F.col("copies") + F.col("n")).alias("group_size"))
+    if history is not None:
+        repeats = repeats.withColumn("winner", F.lit(None).cast("long"))
+    strangers = found.where("slot IS NULL").select("row", "doc_id", "digest")
+    groups = strangers.groupBy("digest").agg(F.max("row").alias("winner"), F.max_by("doc_id", "row").alias("keep_id"), F.count("*").alias("group_size"))
+    own = strangers.join(groups, "digest").select("row", "doc_id", "digest", "winner", "keep_id", "group_size")
+    kept = F.coalesce(F.col("winner") == F.col("row"), F.lit(False)).alias("kept")
+    return repeats.unionByName(own).select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
