@@ -13,29 +13,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import FloatType
+
 from corpusloom.operators.components import connected_components
-from corpusloom.runtime import materialize
+from corpusloom.operators.rows import keyed_rows
+from corpusloom.runtime import discard, materialize
+
+
+MOST_PIVOTS = 4096
 
 
 def _matrix(column, kind) -> np.ndarray:
     return np.stack([np.frombuffer(v, dtype=kind).astype(np.float64) for v in column])
 
 
-def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v for vectors that can link: not null or empty, all components finite, length above zero."""
-    v = F.col(vector_col).cast("array<double>")
+def valid_vectors(rows: DataFrame, vector_col: str) -> DataFrame:
+    """row, v for vectors that can link: not null or empty, all components finite, length above zero."""
+    v = F.col(f"doc.`{vector_col}`").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
+    return rows.select("row", v.alias("v")).where(F.coalesce(fine, F.lit(False)))
 
 
-def choose_pivots(distinct: DataFrame, pivots: int, cosine: float, named: int, apart: float = 0.7, sample: int = 4096) -> dict[int, np.ndarray]:
+def pivots_for(n: int) -> int:
+    """Reference points for n different vectors: they grow with the root of n, so lists and comparisons grow slower than the table's square."""
+    return min(MOST_PIVOTS, max(512, int(2 * n**0.5)))
+
+
+def choose_pivots(distinct: DataFrame, pivots: int, cosine: float, named: int, apart: float = 0.7, sample: int = 2 * MOST_PIVOTS) -> dict[int, np.ndarray]:
     """Reference points by dimension: at most ``pivots`` of a sample of at most ``sample`` distinct vectors, by hash of the id.
 
     In that order, a vector becomes a pivot if its cosine with those before is below ``apart``. A large group of near
     copies so gets few pivots, and its members agree on their nearest ones; with pivots from its midst they would not.
     Where this leaves fewer than eight for each one named, as in a narrow cone, the bound is the linking ``cosine``.
     """
-    rows = distinct.select("vec_id", "v").orderBy(F.xxhash64(F.col("vec_id")), "vec_id").limit(sample).collect()
+    rows = distinct.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(len(r["v"]), []).append(np.array(r["v"]) / np.linalg.norm(r["v"]))
@@ -56,7 +67,7 @@ def choose_pivots(distinct: DataFrame, pivots: int, cosine: float, named: int, a
     return found
 
 
-def _describe(pivots: dict[int, np.ndarray], named: int):
+def _describe(pivots: dict[int, np.ndarray], named: int, kind: str):
     """Vectors to one row for each pivot they name: list, vector, its weight and its ordered pivots."""
 
     def run(batches):
@@ -72,9 +83,9 @@ def _describe(pivots: dict[int, np.ndarray], named: int):
                     near = np.full((len(at), 1), -n, dtype=np.int32)
                 else:
                     near = np.argsort(-((x / np.linalg.norm(x, axis=1, keepdims=True)) @ points.T), axis=1, kind="stable")[:, :named].astype(np.int32)
-                    near += 4096 * n  # pivots of one dimension never meet those of another
+                    near += MOST_PIVOTS * n  # pivots of one dimension never meet those of another
                 k = near.shape[1]
-                raw = [r.tobytes() for r in x]
+                raw = [r.tobytes() for r in x.astype(kind)]
                 order = [r.tobytes() for r in near]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -84,19 +95,19 @@ def _describe(pivots: dict[int, np.ndarray], named: int):
                         pa.array([o for o in order for _ in range(k)], pa.binary()),
                         pa.array([r for r in raw for _ in range(k)], pa.binary()),
                     ],
-                    names=["pivot", "vec_id", "copies", "named", "raw"],
+                    names=["pivot", "node", "copies", "named", "raw"],
                 )
 
     return run
 
 
-def _tile(shared: int, cosine: float):
+def _tile(shared: int, cosine: float, kind: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pivot, low, high = key
-        ids, copies, block = (pdf[c].to_numpy() for c in ("vec_id", "copies", "block"))
+        ids, copies, block = (pdf[c].to_numpy() for c in ("node", "copies", "block"))
         order = np.argsort(ids, kind="stable")
         ids, copies, block = ids[order], copies[order], block[order]
-        x = _matrix(pdf["raw"].iloc[order], np.float64)
+        x = _matrix(pdf["raw"].iloc[order], kind)
         norms = np.sqrt((x * x).sum(axis=1))
         names = np.stack([np.frombuffer(b, dtype=np.int32) for b in pdf["named"].iloc[order]])
         local, inverse = np.unique(names, return_inverse=True)
@@ -106,7 +117,7 @@ def _tile(shared: int, cosine: float):
         a = np.flatnonzero(block == low)
         b = a if low == high else np.flatnonzero(block == high)
         if not len(a) or not len(b):
-            return pd.DataFrame({"vec_id": [], "links": [], "other": []})
+            return pd.DataFrame({"node": [], "links": [], "other": []})
         least = min(shared, names.shape[1])
         candidates = held[a] @ held[b].T >= least
         candidates &= (before[a] @ before[b].T) == 0
@@ -146,7 +157,7 @@ def _tile(shared: int, cosine: float):
         links = np.concatenate((out_links[some], np.zeros(len(edges), dtype=np.int64)))
         other = np.concatenate((np.full(int(some.sum()), -1), np.array([e[1] for e in edges], dtype=np.int64)))
         flag = np.concatenate((np.zeros(int(some.sum()), dtype=bool), np.ones(len(edges), dtype=bool)))
-        return pd.DataFrame({"vec_id": src, "links": links, "other": pd.array(other, dtype="Int64").copy()}).assign(
+        return pd.DataFrame({"node": src, "links": links, "other": pd.array(other, dtype="Int64").copy()}).assign(
             other=lambda d: d["other"].where(flag)
         )
 
@@ -154,42 +165,47 @@ def _tile(shared: int, cosine: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, cosine: float = 0.9, pivots: int = 512, named: int = 8, shared: int = 2, tile: int = 1500, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, cosine: float = 0.9, pivots: int | None = None, named: int = 8, shared: int = 2, tile: int = 1500, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest id reachable), kept.
 
     Pairs found that share at least ``shared`` of their ``named`` nearest pivots link from ``cosine`` on, in double
     precision. Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-    different lengths never link. Equal vectors are one node of the index and count as links of each other. An empty
-    table gives an empty result; ids are taken as unique; further columns are ignored. The index is fitted on a sample of
-    at most 4,096 vectors (see :func:`choose_pivots`) and holds every vector; a list longer than ``tile`` is compared tile by tile.
+    different lengths never link. Equal vectors are one node of the index and count as links of each other. Rows that share
+    an id are vectors of their own that link like others; of a component, the first row in the order of
+    :func:`corpusloom.operators.rows.keyed_rows` is kept (a row without an id comes last, and its component, if it has no
+    other, is null). An empty table gives an empty result; further columns are ignored. The index is fitted on a sample of
+    at most 8,192 vectors (see :func:`choose_pivots`) and holds every vector; without ``pivots``, :func:`pivots_for` says how
+    many there are, at most 4,096. A list longer than ``tile`` is compared tile by tile.
     """
-    if pivots > 4096:
-        raise ValueError("at most 4096 pivots")
-    fine = valid_vectors(vectors, id_col, vector_col)
-    members = materialize(fine.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    points = choose_pivots(members, pivots, cosine, named)
+    if pivots is not None and pivots > MOST_PIVOTS:
+        raise ValueError(f"at most {MOST_PIVOTS} pivots")
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
+    rows = keyed_rows(vectors.select(id_col, vector_col), id_col)
+    fine = valid_vectors(rows, vector_col).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))})
+    # equal vectors are told by a digest: only one of each is shuffled further
+    members = materialize(fine.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min_by("v", "row").alias("v")))
+    points = choose_pivots(members, pivots or pivots_for(members.count()), cosine, named)
     listed = materialize(
-        members.select("vec_id", "copies", "v").mapInArrow(_describe(points, named), "pivot int, vec_id long, copies long, named binary, raw binary")
+        members.select("node", "copies", "v").mapInArrow(_describe(points, named, kind), "pivot int, node long, copies long, named binary, raw binary")
     )
     sizes = listed.groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / tile).cast("int").alias("blocks"))
-    dealt = listed.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    tiled = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "pivot", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "block", "vec_id", "copies", "named", "raw"
+    dealt = listed.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiled = dealt.withColumn("mate", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "pivot", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "block", "node", "copies", "named", "raw"
     )
-    found = materialize(tiled.groupBy("pivot", "low", "high").applyInPandas(_tile(shared, cosine), "vec_id long, links long, other long"))
-    links = found.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("src"), F.col("other").alias("dst")))
+    found = materialize(tiled.groupBy("pivot", "low", "high").applyInPandas(_tile(shared, cosine, kind), "node long, links long, other long"))
+    discard(listed)
+    links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+    groups = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     nodes = (
-        members.select(F.col("vec_id").alias("rep"), "copies", "v")
-        .join(links.withColumnRenamed("vec_id", "rep"), "rep", "left")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    linked = fine.join(nodes, "v").select(F.col("vec_id").alias("id"), "n_links", "component_id")
-    everyone = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    out = everyone.join(linked, everyone["vec_id"] == linked["id"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
+        members.select("h1", "h2", "node", "copies")
+        .join(links, "node", "left")
+        .join(groups, "node", "left")
+        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("head"))
     )
+    linked = fine.select("row", "h1", "h2").join(nodes, ["h1", "h2"]).select("row", "n_links", "head")
+    id_of = F.col(f"doc.`{id_col}`").cast("long")
+    heads = rows.select(F.col("row").alias("head"), id_of.alias("component_id"))
+    everyone = rows.select("row", id_of.alias("vec_id")).join(linked, "row", "left").withColumn("head", F.coalesce("head", "row"))
+    return everyone.join(heads, "head").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("head") == F.col("row")).alias("kept"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
+from corpusloom.operators.rows import keyed_rows
 from corpusloom.runtime import materialize
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
@@ -42,21 +43,21 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long). Null text counts as empty."""
+def fingerprints(rows: DataFrame, shingle: int = 4, text_col: str = "text") -> DataFrame:
+    """row, fp (the 64 bits as a signed long). Null text counts as empty."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             made = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.select("row", F.col(f"doc.`{text_col}`").alias("text")).mapInArrow(run, "row long, fp long")
 
 
 def _variants(prints: DataFrame) -> DataFrame:
     """key, fp, rep: one row for each bit taken as the wildcard of its segment."""
-    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
+    bit = F.explode_outer(F.sequence(F.lit(0), F.lit(63))).alias("bit")
     low = "CASE WHEN bit < 21 THEN 0 WHEN bit < 42 THEN 21 ELSE 42 END"
     mask = "CASE WHEN bit < 42 THEN 2097151L ELSE 4194303L END"
     segment = f"(shiftrightunsigned(fp, {low}) & ({mask}) & ~shiftleft(1L, bit - ({low})))"
@@ -146,27 +147,42 @@ def _linked(bound: int):
     return run
 
 
+def _grouped(rows: DataFrame, bits: int, shingle: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(prints, named): row, fp of every row; fp and the smallest row of its component for every fingerprint."""
+    if not 0 <= bits <= 4:
+        raise ValueError("bits must be 0 to 4")
+    prints = materialize(fingerprints(rows, shingle, text_col))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("row").alias("rep")))
+    edges = _variants(nodes).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(bits), "src long, dst long")
+    groups = connected_components(edges)
+    named = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("head"))
+    return prints, materialize(named)
+
+
 def simhash_groups(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
-    Texts without words (null, empty, white space) have fingerprint zero and are linked like any other. Equal
-    fingerprints are one node of the index however many documents share them. An empty table gives an empty result;
-    further columns are ignored. ``bits`` may be at most 4: the three segments are made for that.
+    Texts without words (null, empty, white space) have fingerprint zero and are linked like any other; texts of any
+    length are read whole. Equal fingerprints are one node of the index however many documents share them. Rows that share
+    an id are documents of their own; rows without one count as the largest ids (a component of such rows has a null).
+    An empty table gives an empty result; further columns are ignored. ``bits`` may be at most 4: the three segments are
+    made for that.
     """
-    if not 0 <= bits <= 4:
-        raise ValueError("bits must be 0 to 4")
-    prints = materialize(fingerprints(docs, shingle, id_col, text_col))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    keyed = _variants(nodes)
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(bits), "src long, dst long")
-    groups = connected_components(edges)
-    named = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rows = keyed_rows(docs.select(id_col, text_col), id_col)
+    prints, named = _grouped(rows, bits, shingle, text_col)
+    ids = rows.select("row", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"))
+    # the id of a component is looked up once for each fingerprint, not for each document
+    headed = named.join(ids.select(F.col("row").alias("head"), F.col("doc_id").alias("component_id")), "head").select("fp", "component_id")
+    return prints.join(headed, "fp").join(ids, "row").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group, the one of the smallest doc_id; its columns are unchanged."""
-    kept = simhash_groups(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+def simhash_dedup(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest doc_id; its columns are unchanged.
+
+    Rows that share an id are documents of their own, and one of them stays at most where they are alike; rows without an
+    id count as the largest. Null and empty texts form one group. Further columns, whatever their names, are carried; an
+    empty table gives an empty table.
+    """
+    rows = keyed_rows(docs, "doc_id")
+    named = _grouped(rows, bits, shingle, "text")[1]
+    return rows.join(named.select(F.col("head").alias("row")).distinct(), "row", "left_semi").select("doc.*")

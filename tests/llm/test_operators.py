@@ -57,7 +57,7 @@ def components(n, linked):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_exact(spark, seed):
-    from corpusloom.llm.exact import digests, exact_dedup, known_digests
+    from corpusloom.llm.exact import exact_dedup
 
     texts = near_texts(seed)
     got = {r["doc_id"]: r for r in exact_dedup(frame(spark, texts), per_shard=5, per_task=7).collect()}
@@ -69,20 +69,43 @@ def test_exact(spark, seed):
         g = groups[t or ""]
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(g), len(g), max(g) == i)
         assert got[i]["text_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-    history = known_digests(digests(frame(spark, ["old"])))
-    again = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, ["new", "old", "new"]).where("doc_id >= 0"), history).collect()}
-    assert again == {0: 2, 1: 0, 2: 2}
     assert exact_dedup(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_exact_with_history(spark):
+    """What history knows goes, whatever its ids; strangers are grouped by themselves; sizes count both."""
+    from corpusloom.llm.exact import exact_dedup, known_digests
+
+    history = known_digests(frame(spark, ["old", "old", "never again", None]))
+    rows = exact_dedup(frame(spark, ["new", "old", "new", "", "old", "long " * 100_000]), history, per_shard=2, per_task=2).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows) == [
+        (0, 2, 2, False), (1, 1, 4, False), (2, 2, 2, True), (3, 3, 2, False), (4, 1, 4, False), (5, 5, 1, True)
+    ]
+    none = exact_dedup(frame(spark, ["a", "a"]), history.limit(0)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in none) == [(0, 1, False), (1, 1, True)]
+
+
+def test_exact_of_repeated_and_missing_ids(spark):
+    from corpusloom.llm.exact import exact_dedup
+
+    got = exact_dedup(clashing(spark, REPEATED)).collect()
+    assert len(got) == len(REPEATED)
+    assert sorted((r["doc_id"] or 99, r["keep_id"] or 99, r["group_size"], r["kept"]) for r in got) == [
+        (1, 1, 3, False), (1, 1, 3, False), (1, 1, 3, True), (2, 2, 1, True), (2, 99, 2, False), (7, 99, 2, False), (8, 8, 1, True),
+        (99, 99, 1, True), (99, 99, 2, True), (99, 99, 2, True),
+    ]
+
+
 def test_minimal_perfect_hash():
-    from corpusloom.llm.exact import build_table, look_up
+    import pandas as pd
+    from corpusloom.llm.exact import SLOT, build_table, look_up
 
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
-    table = build_table(keys, np.arange(3000), np.ones(3000))
-    known, winner, _ = look_up(keys, *table)
-    assert known.all() and (winner == np.arange(3000)).all() and len(table[1]) == 3000 * 48
-    assert not look_up([hashlib.sha256(b"other%d" % i).digest() for i in range(500)], *table)[0].any()
+    seeds, slots = build_table(keys, pd.DataFrame({"row": np.arange(3000), "id": np.arange(3000) + 7, "copies": np.ones(3000, dtype=int)}))
+    at, table = look_up(keys, seeds, slots)
+    assert sorted(at) == list(range(3000)) and len(slots) == 3000 * SLOT.itemsize
+    assert (table["row"][at] == np.arange(3000)).all() and (table["id"][at] == np.arange(3000) + 7).all()
+    assert (look_up([hashlib.sha256(b"other%d" % i).digest() for i in range(500)], seeds, slots)[0] == -1).all()
 
 
 def test_mixing(spark):
@@ -117,6 +140,24 @@ def test_mixing(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_repeated_and_missing_ids(spark):
+    from corpusloom.llm.mixing import mix, mixed_documents
+
+    docs = clashing(spark, REPEATED)
+    counts = mix(docs).collect()
+    assert len(counts) == len(REPEATED) and sum(r["doc_id"] is None for r in counts) == 3
+    mixed = mixed_documents(docs)
+    assert mixed.schema == docs.schema
+    out = mixed.collect()
+    words = lambda rows: sum(len(WORD.findall(r["text"] or "")) for r in rows)
+    assert words(out) == sum(r["taken"] for r in counts) and all(r["n_chars"] == len(r["text"] or "") for r in out)
+    for r in counts:  # three equal rows stay three documents
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert mixed_documents(docs.limit(0)).count() == 0
+    three = mixed_documents(clashing(spark, [(1, "a b c", "s")] * 3))
+    assert [r["text"] for r in three.collect()] == ["a b c"] * 3
+
+
 def test_mixing_without_words(spark):
     from corpusloom.llm.mixing import mix
 
@@ -185,11 +226,25 @@ def test_substring(spark, seed):
 
     rng = random.Random(seed)
     texts = near_texts(seed) + ["a b " * 60, "b a " * 40, "c " * 19, "c " * 20, "c " * 21, prose(rng, 3000, 3), "long" * 400_000 + " end"]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(frame(spark, texts)).collect()}
-    assert got == brute_windows(texts)
+    # a frequent phrase in ever new surroundings: its minimizer is cut again, down to windows
+    phrase = prose(rng, 10, 3)
+    texts += [f"{prose(rng, 25, 900)} {phrase} {prose(rng, 25, 900)}" for _ in range(30)]
+    for per_shard in (50_000, 500):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(frame(spark, texts), per_shard=per_shard).collect()}
+        assert got == brute_windows(texts)
     assert substring_dedup(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_substrings_of_repeated_and_missing_ids(spark):
+    from corpusloom.llm.spans import substring_dedup
+
+    long = prose(random.Random(0), 40, 900)
+    rows = [*REPEATED, (3, long, "a"), (3, long, "a"), (None, long, "a"), (4, "x " + long + " y", "b"), (4, "z", "b")]
+    got = substring_dedup(clashing(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in got if r["n_removed"] or r["doc_id"] == 3) == [(3, 0), (3, 40), (4, 40), (8, 24), (99, 40)]
+
+
 def test_suffix_automaton():
     from corpusloom.llm.spans import repeated_windows
 
@@ -430,6 +485,30 @@ def test_embeddings(spark):
     assert embedding_groups(table.limit(0)).count() == 0
 
 
+def test_repeated_and_missing_ids_of_vectors(spark):
+    from corpusloom.llm.pivots import embedding_groups
+
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (5, [0.1, 1.0]), (6, None)]
+    got = embedding_groups(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, node int, row string, doc int")).collect()
+    assert sorted((r["vec_id"] or 9, r["n_links"], r["component_id"], r["kept"]) for r in got) == [
+        (1, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (5, 1, 5, True), (6, 0, 6, True), (9, 1, 5, False), (9, 3, 1, False)
+    ]
+
+
+def test_simhash_of_repeated_and_missing_ids(spark):
+    from corpusloom.llm.simhash import simhash_dedup, simhash_groups
+
+    docs = clashing(spark, REPEATED)
+    got = simhash_groups(docs).collect()
+    assert len(got) == len(REPEATED)
+    kept = simhash_dedup(docs)
+    assert kept.schema == docs.schema
+    # three equal texts leave one; null and empty are one group, of which the row with an id stays
+    assert sorted((r["doc_id"] or 99, r["text"]) for r in kept.collect()) == [
+        (1, "same words in this line here"), (2, "another text\nsame words in this line here"), (2, "gamma only here"), (7, ""), (8, "unlike all others " * 9), (99, "no id at all")
+    ]
+
+
 def test_embedding_recall(spark):
     """A group of near copies that holds a third of the rows, and partners just above the threshold."""
     from corpusloom.llm.pivots import embedding_groups
