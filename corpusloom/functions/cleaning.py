@@ -28,6 +28,7 @@ SIGNATURES = (
     r"(\(Merged from|\(cherry(-| |)picked from|tracked(-| |)on)",
 )
 LINE_SIGNATURES = r"(Bug:|BUG=|FIXES=|R=)"
+# fixed values: what may stand after and before a removed thing
 AFTER = r"[:,.!?;~]*"
 LEAD = rf"[:\-{W}]*"
 
@@ -39,11 +40,6 @@ def _apply(x: Column, pattern: str, token: str) -> Column:
     return F.regexp_replace(x, rf"{SPACE}{LEAD}{pattern}{AFTER}(?={SPACE}|\z)", "")
 
 
-def _guarded(x: Column, needed: str, change) -> Column:
-    """The expensive expression only where a literal that it cannot do without is there."""
-    return F.when(x.contains(needed), change(x)).otherwise(x)
-
-
 def emails(x: Column, replace: bool = False) -> Column:
     return _apply(x, EMAIL, TOKENS["email"] if replace else "")
 
@@ -56,6 +52,15 @@ def nicks(x: Column, replace: bool = False) -> Column:
     return _apply(x, NICK, TOKENS["at_pattern"] if replace else "")
 
 
+def _unled(x: Column) -> Column:
+    """Without the dashes and colons that removal leaves at the start."""
+    return F.when(x.startswith("-") | x.startswith("–") | x.startswith(":"), F.regexp_replace(x, r"\A[\-–:]+", "")).otherwise(x)
+
+
+#: For each pattern of ISSUES, a test that is true wherever the pattern can match.
+ISSUE_SIGNS = (lambda x: x.contains("#"), lambda x: x.contains("GH-"), lambda x: x.contains("gh-"), lambda x: x.rlike(r"[A-Z]\w+-\d"))
+
+
 def issues(x: Column, replace: bool = False) -> Column:
     for pattern in ISSUES:
         x = _apply(x, pattern, TOKENS["issue_ref"] if replace else "")
@@ -70,6 +75,11 @@ def signatures(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?d)\A{LINE_SIGNATURES}.*?\z", "")
 
 
+def _signed(x: Column) -> Column:
+    """Whether a line holds any of the signatures: one pass instead of one for each."""
+    return x.rlike(rf"(?id)(?:\A|{SPACE})(?:{'|'.join(SIGNATURES)})") | x.rlike(rf"\A{LINE_SIGNATURES}")
+
+
 def shas(x: Column, replace: bool = False) -> Column:
     out = x
     for prefix in SHA_PREFIXES:
@@ -78,9 +88,21 @@ def shas(x: Column, replace: bool = False) -> Column:
 
 
 def clean_lines(lines: Column, replace: bool = False) -> Column:
-    """An array of lines, each without (or with tokens for) all of the above, stripped; one transform a step that uses its input twice."""
-    lines = F.transform(lines, lambda x: _guarded(x, "@", lambda y: emails(y, replace)))
-    lines = F.transform(lines, lambda x: _guarded(x, "://", lambda y: urls(y, replace)))
-    lines = F.transform(lines, lambda x: signatures(issues(x, replace)))
-    lines = F.transform(lines, lambda x: _guarded(x, "@", lambda y: nicks(y, replace)))
-    return F.transform(lines, lambda x: strip(shas(x, replace)))
+    """An array of lines, each without (or with tokens for) all of the above, stripped.
+
+    One transform a step that uses its input twice; a step's patterns run only on lines where a cheap test says that they can match.
+    """
+
+    def step(test, change):
+        return F.transform(lines, lambda x: F.when(test(x), change(x)).otherwise(x))
+
+    lines = step(lambda x: x.contains("@"), lambda x: emails(x, replace))
+    lines = step(lambda x: x.contains("://"), lambda x: urls(x, replace))
+    for pattern, sign in zip(ISSUES, ISSUE_SIGNS):
+        lines = step(sign, lambda x, p=pattern: _apply(x, p, TOKENS["issue_ref"] if replace else ""))
+        if not replace:
+            lines = F.transform(lines, _unled)
+    lines = step(_signed, signatures)
+    lines = step(lambda x: x.contains("@"), lambda x: nicks(x, replace))
+    lines = step(lambda x: x.rlike(r"[\dA-Fa-f-]{7}"), lambda x: shas(x, replace))
+    return F.transform(lines, strip)

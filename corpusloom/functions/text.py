@@ -11,8 +11,11 @@ UNISPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 WORD = r"[\p{L}\p{N}_]"
 
 
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def n_tokens(x: Column) -> Column:

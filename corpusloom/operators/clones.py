@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,14 @@ def message_text(message: Column, line_sep: str = "\n") -> Column:
 
 
 def clone_tokens(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, SEPARATORS), lambda y: y != ""), strip)
+    """Tokens of a text; only blanks that are no separators are left to strip, and most texts hold none."""
+    tokens = F.filter(F.split(text, SEPARATORS), lambda y: y != "")
+    return F.when(text.rlike(r"[\x0b\x0c\x1c-\x1f]"), F.transform(tokens, strip)).otherwise(tokens)
 
 
-def text_hash(text: Column, tokens: Column) -> Column:
+def text_hash(text: Column) -> Column:
     """md5 of the text; null where it has no tokens, as such rows are no clones."""
-    return F.when(F.size(tokens) > 0, F.md5(text))
+    return F.when(text.rlike(SEPARATORS.replace("[", "[^", 1)), F.md5(text))
 
 
 def bag_hash(ordered: Column) -> Column:
@@ -59,7 +63,7 @@ def add_hashes(df: DataFrame, message: str = "message", mods: str = "mods", line
     made = {}
     for short, name in (("mh", "msg"), ("dh", "diff")):
         t = F.col(f"_{name}_t")
-        made[short] = bag_hash(t) if tokens_hash else text_hash(F.col(f"_{name}"), t)
+        made[short] = bag_hash(t) if tokens_hash else text_hash(F.col(f"_{name}"))
         made[f"n_total_{name}"] = F.size(t)
         made[f"n_unique_{name}"] = F.size(F.array_distinct(t))
     return cut.withColumns(made).drop("_msg", "_diff", "_msg_t", "_diff_t")
@@ -114,6 +118,18 @@ def drop_clones(df: DataFrame, id_col: str = "id", inner: bool = True, outer_par
     return df
 
 
+def pair_sets(pairs: DataFrame, part: int, others: tuple[int, ...] | None = None) -> DataFrame:
+    """root_part, root, clones: for each example, the set of the part's examples that it is paired with.
+
+    Without ``others``, both ends are of the part; with them, the root is of one of the other parts. Pairs come in either orientation.
+    """
+    a = pairs.select(F.col("part_id1").alias("p"), F.col("id1").alias("x"), F.col("part_id2").alias("q"), F.col("id2").alias("y"))
+    b = pairs.select(F.col("part_id2").alias("p"), F.col("id2").alias("x"), F.col("part_id1").alias("q"), F.col("id1").alias("y"))
+    wanted = F.col("q").isin(*others) if others is not None else F.col("q") == part
+    both = a.unionByName(b).where((F.col("p") == part) & wanted)
+    return both.groupBy(F.col("q").alias("root_part"), F.col("y").alias("root")).agg(F.array_sort(F.collect_set("x")).alias("clones"))
+
+
 def pair_edges(pairs: DataFrame, part: int | None = None, other: bool = False) -> DataFrame:
     """src, dst of clone pairs (part_id1, id1, part_id2, id2): within a part, or from it to others (either orientation)."""
     a = pairs.select(F.col("part_id1").alias("p"), F.col("id1").alias("src"), F.col("part_id2").alias("q"), F.col("id2").alias("dst"))
@@ -139,3 +155,52 @@ def identical_full_clones(message_pairs: DataFrame, diff_pairs: DataFrame, part:
 def pair_clones(message_pairs: DataFrame, diff_pairs: DataFrame, part: int, other: bool = False) -> DataFrame:
     """id: every id of the part that occurs in a pair of messages or of diffs."""
     return pair_edges(message_pairs, part, other).unionByName(pair_edges(diff_pairs, part, other)).select(F.col("src").alias("id")).distinct()
+
+
+def pair_clones_to_drop(
+    message_pairs: DataFrame, diff_pairs: DataFrame, part: int, inner: bool = True, outer: bool = True, only_full: bool = False, identical: bool = True
+) -> DataFrame:
+    """id: what goes from the part by clone pairs: inside it (whole clones only, if asked, identical or similar) and against other parts."""
+    found = []
+    if inner and only_full:
+        found.append((identical_full_clones if identical else similar_full_clones)(message_pairs, diff_pairs, part))
+    elif inner:
+        found.append(pair_clones(message_pairs, diff_pairs, part))
+    if outer:
+        found.append(pair_clones(message_pairs, diff_pairs, part, other=True))
+    if not found:
+        return message_pairs.select(F.col("id1").alias("id")).limit(0)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def encoded_lines(df: DataFrame, part_id: Column, column: str, text: Column, line_sep: str = "\n") -> DataFrame:
+    """value: one line an example for external clone search: part, id, token counts, hash of the text, then each token with its count.
+
+    ``column`` holds the id; tokens stand in the order in which they first occur. Null texts fail.
+    """
+    # fixed values: what separates the head from the tokens, and a token from its count
+    head, count = "@#@", "@@::@@"
+    checked = F.when(text.isNull(), F.raise_error(F.lit("null text"))).otherwise(text)
+    cut = df.select(part_id.alias("p"), F.col(column).alias("i"), checked.alias("x")).withColumn("t", clone_tokens(F.col("x")))
+    # tokens with their places, sorted: a run for each different one, its first place and its length
+    placed = cut.select("p", "i", "x", F.size("t").alias("n"), F.array_sort(F.transform("t", lambda y, at: F.struct(y.alias("t"), at.alias("at")))).alias("s"))
+    change = lambda k: (k == 0) | (F.get("s", k)["t"] != F.get("s", k - 1)["t"])
+    starts = placed.withColumn("starts", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), change)).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array("n"))
+    run = lambda k, end: F.struct(F.get("s", k)["at"].alias("at"), F.concat(F.get("s", k)["t"], F.lit(count), (end - k).cast("string")).alias("y"))
+    runs = starts.withColumn("runs", F.array_sort(F.zip_with("starts", F.slice(ends, F.lit(1), F.size("starts")), run)))
+    body = F.concat(F.md5("x"), F.lit(head), F.array_join(F.transform("runs", lambda r: r["y"]), ","))
+    return runs.select(F.concat_ws(",", "p", "i", "n", F.size("runs"), body).alias("value"))
+
+
+def hashes_of_encoded(lines: DataFrame, tokens_hash: bool = True) -> DataFrame:
+    """part_idx, idx, hash from lines of :func:`encoded_lines`; examples without tokens are left out."""
+    head, tokens = F.split("value", "@#@").getItem(0), F.split("value", "@#@").getItem(1)
+    info = F.split(head, ",")
+    rows = lines.select(info[0].cast("int").alias("part_idx"), info[1].cast("int").alias("idx"), info[3].cast("int").alias("unique"), info[4].alias("hash"), tokens.alias("tokens"))
+    rows = rows.where(F.col("unique") > 0)
+    if tokens_hash:
+        pairs = F.array_sort(F.transform(F.split("tokens", ","), lambda t: F.split(t, "@@::@@")))
+        body = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p[0], F.lit('": '), p[1])), ", ")
+        rows = rows.withColumn("hash", F.md5(F.concat(F.lit("{"), body, F.lit("}"))))
+    return rows.select("part_idx", "idx", "hash")

@@ -28,9 +28,9 @@ def drop_bots(df: DataFrame, bots: DataFrame) -> DataFrame:
     return df.join(bots, ["name", "email"], "left_anti").select(*df.columns)
 
 
-def drop_shared_authors(df: DataFrame, train: str = "train") -> DataFrame:
-    """Training rows by authors of other parts go."""
-    others = df.where(F.col("part") != train).select("name", "email").distinct()
+def drop_shared_authors(df: DataFrame, everyone: DataFrame | None = None, train: str = "train") -> DataFrame:
+    """Training rows by authors of other parts go; ``everyone``: where these are looked up, if rows were dropped since."""
+    others = (df if everyone is None else everyone).where(F.col("part") != train).select("name", "email").distinct()
     return df.where(F.col("part") != train).unionByName(df.where(F.col("part") == train).join(others, ["name", "email"], "left_anti").select(*df.columns))
 
 
@@ -44,9 +44,9 @@ def _require(df: DataFrame, column: str, what: str) -> DataFrame:
     return df.withColumn(column, checked)
 
 
-def add_repo_metadata(df: DataFrame, repos: DataFrame, order: str | None = None, strict: bool = True) -> DataFrame:
-    """``df`` with language and license of its repo ('#' read as '/'); the last of repeated names counts; a missing one fails unless not strict."""
-    last = _latest(repos, ["name"], order) if order else repos.dropDuplicates(["name"])
+def add_repo_metadata(df: DataFrame, repos: DataFrame, order: str, strict: bool = True) -> DataFrame:
+    """``df`` with language and license of its repo ('#' read as '/'); of repeated names the last by ``order`` counts; a missing one fails unless not strict."""
+    last = _latest(repos, ["name"], order)
     side = last.select(F.col("name").alias("_repo"), F.col("mainLanguage").alias("language"), "license")
     out = df.join(side, F.translate("repo", "#", "/") == F.col("_repo"), "left")
     missing = F.col("_repo").isNull()
@@ -55,9 +55,9 @@ def add_repo_metadata(df: DataFrame, repos: DataFrame, order: str | None = None,
     return out.drop("_repo")
 
 
-def add_author_ids(df: DataFrame, authors_map: DataFrame, order: str | None = None, strict: bool = True) -> DataFrame:
-    """``df`` with author_id by (name, email, repo); the last of repeated keys counts; a missing one fails unless not strict."""
+def add_author_ids(df: DataFrame, authors_map: DataFrame, order: str, strict: bool = True) -> DataFrame:
+    """``df`` with author_id by (name, email, repo); of repeated keys the last by ``order`` counts; a missing one fails unless not strict."""
     keys = ["name", "email", "repo"]
-    last = _latest(authors_map, keys, order) if order else authors_map.dropDuplicates(keys)
+    last = _latest(authors_map, keys, order)
     out = df.join(last.select(*keys, F.col("id").cast("long").alias("author_id")), keys, "left")
     return _require(out, "author_id", "author id") if strict else out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import n_tokens
@@ -41,10 +43,31 @@ def mods_stats(mods: Column) -> Column:
 def percentiles(df: DataFrame, columns: list[str], lower: float = 5, upper: float = 95, part: str | None = "train") -> DataFrame:
     """One row: <column>_lower and <column>_upper by linear interpolation, nulls ignored, over the training part."""
     rows = df.where(F.col("part") == part) if part else df
-    made = []
-    for c in columns:
-        made += [F.percentile(c, F.lit(lower / 100)).alias(f"{c}_lower"), F.percentile(c, F.lit(upper / 100)).alias(f"{c}_upper")]
-    return rows.agg(*made)
+    both = rows.agg(*[F.percentile(c, F.array(F.lit(lower / 100), F.lit(upper / 100))).alias(c) for c in columns])
+    return both.select(*[F.get(c, F.lit(i)).alias(f"{c}_{end}") for c in columns for i, end in enumerate(("lower", "upper"))])
+
+
+def save_percentiles(thresholds: DataFrame, folder: str, lower: float = 5, upper: float = 95) -> None:
+    """Write diff.json and message.json: one object a file, {percentile: {statistic: value}}."""
+    row = thresholds.first().asDict()
+    for name, prefix in (("diff", "diff_"), ("message", "msg_")):
+        found = {
+            f"{p:g}": {c[len(prefix) : -len(end) - 1]: v for c, v in row.items() if c.startswith(prefix) and c.endswith(f"_{end}")}
+            for p, end in ((lower, "lower"), (upper, "upper"))
+        }
+        text = thresholds.sparkSession.createDataFrame([(json.dumps(found),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+
+
+def load_percentiles(spark: SparkSession, folder: str, lower: float = 5, upper: float = 95) -> DataFrame:
+    """The row of thresholds from files of :func:`save_percentiles` (or single files of that form); numbers are numbers again."""
+    made = {}
+    for name, prefix in (("diff", "diff_"), ("message", "msg_")):
+        text = "".join(r["value"] for r in spark.read.text(f"{folder}/{name}.json").collect())
+        held = {float(p): stats for p, stats in json.loads(text).items()}
+        for p, end in ((lower, "lower"), (upper, "upper")):
+            made |= {f"{prefix}{c}_{end}": float(v) for c, v in held[p].items()}
+    return spark.createDataFrame([tuple(made.values())], ", ".join(f"{c} double" for c in made))
 
 
 def check_stats(chosen, allowed) -> tuple[str, ...]:

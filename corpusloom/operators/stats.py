@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.prefix import ranged_prefix
@@ -90,3 +90,30 @@ def stratified_split(df: DataFrame, strata: str, key: str, shares=(("train", 0.8
 def value_counts(df: DataFrame, flag: str, by: list[str] = (), drop_null: bool = True) -> DataFrame:
     rows = df.where(F.col(flag).isNotNull()) if drop_null else df
     return rows.groupBy(*by, flag).count().withColumnRenamed("count", "n")
+
+
+def count_and_sum(df: DataFrame, by: list[str], value: str, total: str = "total") -> DataFrame:
+    """by, n, total: rows and the sum of a column, by group."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias(total))
+
+
+def ratio(df: DataFrame, part: str, whole: str, out: str, percent: bool = True) -> DataFrame:
+    """``df`` with one column's share of another; null where the whole is zero."""
+    return df.withColumn(out, F.try_divide(F.col(part) * F.lit(100.0 if percent else 1.0), F.col(whole)))
+
+
+def ratio_of(part: DataFrame, whole: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """keys, out: 100 times a value in one table by that of the same key in another; keys that only one has give null."""
+    a, b = part.select(*keys, F.col(value).alias("_a")), whole.select(*keys, F.col(value).alias("_b"))
+    return ratio(a.join(b, keys, "full"), "_a", "_b", out).select(*keys, out)
+
+
+def describe_groups(df: DataFrame, part: str, group: str, percentiles=PERCENTILES) -> DataFrame:
+    """Rows for each group, described for each part: two levels of one aggregation."""
+    return describe(df.groupBy(part, group).agg(F.count("*").alias("n")), "n", [part], percentiles)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df``, and its number of rows as counted on the way by whatever action runs next (``.get["n"]``, which waits for it): no extra pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen

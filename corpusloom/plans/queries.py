@@ -6,15 +6,18 @@ orders for authors and histories.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning as C
 from corpusloom.functions import text as T
-from corpusloom.operators import clones, diffs, messages, metadata, outliers, stats
+from corpusloom.operators import clones, diffs, filters, messages, metadata, outliers, stats
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ids import surrogate_ids as number_keys
-from corpusloom.runtime import load, materialize
+from corpusloom.plans.pipeline import Config, Tables, run
+from corpusloom.runtime import load, materialize, shared_dir
 from corpusloom.sources import commits
 
 QUERIES: dict = {}
@@ -535,18 +538,16 @@ def length_filters(spark, sf_dir):
 
 S_FLAGS = (
     f"SELECT doc_id, lang, quality = 1 AS is_vdo, NOT contains(text, chr(10)) AS first_sentence_newline, {S_APPROX} AS first_sentence_punct, "
-    f"{S_PUNCT} <= 30 AS message_30_tokens, {S_PUNCT} >= 100 AS diff_100_tokens FROM documents LEFT JOIN labels USING (doc_id)"
+    f"{S_PUNCT} <= 30 AS message_30_tokens, {S_PUNCT} <= 100 AS diff_100_tokens FROM documents JOIN labels USING (doc_id)"
 )
 
 
 @query(S_FLAGS)
 def filter_flags(spark, sf_dir):
-    x = F.col("text")
-    joined = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return joined.select(
-        "doc_id", "lang", (F.col("quality") == 1).alias("is_vdo"), T.one_sentence(x).alias("first_sentence_newline"), T.one_sentence_punct(x).alias("first_sentence_punct"),
-        T.no_longer_than(x, 30).alias("message_30_tokens"), T.no_shorter_than(x, 100).alias("diff_100_tokens"),
-    )
+    judged = load(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("judged"))
+    docs = load(spark, sf_dir, "documents").join(judged.select("doc_id"), "doc_id", "left_semi")
+    joined = filters.with_judgements(docs, judged, ["doc_id"])
+    return joined.select("doc_id", "lang", *filters.filter_row(F.col("text"), F.col("text"), F.col("judged")))
 
 
 @query(f"SELECT lang, is_vdo, count(*) AS n FROM ({S_FLAGS}) GROUP BY ALL")
@@ -621,8 +622,7 @@ def author_stats(spark, sf_dir):
     )
 )
 def describe_parts(spark, sf_dir):
-    by = documents(spark, sf_dir, part=PART).groupBy("part", "source").agg(F.count("*").alias("n"))
-    return rounded(stats.describe(by, "n", ["part"]))
+    return rounded(stats.describe_groups(documents(spark, sf_dir, part=PART), "part", "source"))
 
 
 def counters(spark, sf_dir) -> DataFrame:
@@ -658,7 +658,7 @@ def dedup_keep_first(spark, sf_dir):
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def license_whitelist(spark, sf_dir):
-    return load(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+    return filters.licensed(load(spark, sf_dir, "customer"), "c_mktsegment", ("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
 
 
 @query(
@@ -677,16 +677,112 @@ def merge_parts(spark, sf_dir):
     return commits.merge_parts(load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org#"), "source").alias("repo")))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS value FROM conversations GROUP BY conv_id")
+@query("SELECT string_agg(text, '[NL]' ORDER BY turn, text) AS value FROM conversations GROUP BY conv_id")
 def tokenizer_text(spark, sf_dir):
-    rows = commits_of(spark, sf_dir, "text")
-    return rows.select("conv_id", F.array_join(F.transform("mods", lambda m: m["diff"]), "\n").alias("value"))
+    return commits.diff_lines(commits_of(spark, sf_dir, "text"), "[NL]")
+
 
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS diff_md5 FROM conversations GROUP BY conv_id")
+def filter_text(spark, sf_dir):
+    return commits_of(spark, sf_dir, "text").select("conv_id", F.md5(filters.diff_for_lengths(F.col("mods"))).alias("diff_md5"))
 
-@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(sum(n_chars) * 100.0::DOUBLE / count(*), 6) AS ratio FROM documents GROUP BY lang")
+
+@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, round(sum(n_chars) * 1.0::DOUBLE / count(*), 6) AS ratio FROM documents GROUP BY lang")
 def count_and_sum(spark, sf_dir):
-    by = load(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    return by.withColumn("ratio", F.round(F.col("chars") * F.lit(100.0) / F.col("n"), 6))
+    by = stats.count_and_sum(load(spark, sf_dir, "documents"), ["lang"], "n_chars", "chars")
+    return rounded(stats.ratio(by, "chars", "n", "ratio", percent=False))
+
+
+@query(
+    f"SELECT lang, round(count(*) FILTER ({PART} = 'val') * 100.0::DOUBLE / nullif(count(*) FILTER ({PART} = 'train'), 0), 6) AS percent FROM documents "
+    f"WHERE {PART} IN ('train', 'val') GROUP BY lang HAVING count(*) FILTER ({PART} = 'val') > 0 AND count(*) FILTER ({PART} = 'train') > 0"
+)
+def ratio_of_parts(spark, sf_dir):
+    by = {p: documents(spark, sf_dir, part=PART).where(F.col("part") == p).groupBy("lang").agg(F.count("*").alias("n")) for p in ("val", "train")}
+    return rounded(stats.ratio_of(by["val"], by["train"], ["lang"], "n", "percent")).where("percent IS NOT NULL")
+
+
+@query("SELECT c_custkey, n_name AS github_full_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
+def search_metadata(spark, sf_dir):
+    search = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("name"))
+    known = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("name"), F.expr("CASE WHEN n_regionkey <> 2 THEN n_name END").alias("github_full_name"))
+    return filters.found_repos(search, known).select("c_custkey", "github_full_name")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'val' ELSE 'train' END AS part FROM customer WHERE c_nationkey % 3 < 2")
+def split_membership(spark, sf_dir):
+    names = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    found = filters.in_parts(load(spark, sf_dir, "customer"), {"val": names.where("c_nationkey % 3 = 0"), "train": names.where("c_nationkey % 3 = 1")}, "c_nationkey")
+    return found["val"].select("c_custkey", F.lit("val").alias("part")).unionByName(found["train"].select("c_custkey", F.lit("train").alias("part")))
+
+
+@query(
+    f"{S_BOTH} SELECT q AS root_part, y AS root, string_agg(x::VARCHAR, ',' ORDER BY x) AS clones FROM (SELECT id1 AS x, part_id2 AS q, id2 AS y FROM m WHERE part_id1 = 0 AND part_id2 <> 0 "
+    "UNION SELECT id2, part_id1, id1 FROM m WHERE part_id2 = 0 AND part_id1 <> 0) GROUP BY q, y"
+)
+def pair_sets(spark, sf_dir):
+    return clones.pair_sets(pairs_of(spark, sf_dir, BY_MONTH), 0, (1, 2)).select("root_part", "root", F.array_join("clones", ",").alias("clones"))
+
+
+# pairs of documents, as another tool would report them
+PAIR_MSG, PAIR_DIFF = ("doc_id % 6 = 0", 30), ("doc_id % 7 = 0", 1)
+PART_ID = f"CASE {PART} WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {PART_ID} AS p FROM documents), pairs AS ("
+    + " UNION ALL ".join(f"SELECT a.doc_id AS a, a.p AS p, b.doc_id AS b, b.p AS q FROM d a JOIN d b ON b.doc_id = a.doc_id + {n} WHERE {c.replace('doc_id', 'a.doc_id')}" for c, n in (PAIR_MSG, PAIR_DIFF))
+    + "), gone AS (SELECT a AS doc_id FROM pairs WHERE p = q OR p = 1 UNION SELECT b FROM pairs WHERE p = q OR q = 1) "
+    f"SELECT doc_id, {PART} AS part FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)"
+)
+def pairs_pipeline(spark, sf_dir):
+    docs = documents(spark, sf_dir, part=PART, repo="source", hash="concat('h', doc_id)", p=PART_ID)
+    ids = docs.select(F.col("p").alias("part_id1"), F.col("doc_id").alias("id1"))
+    pairs = [
+        ids.where(c.replace("doc_id", "id1")).withColumn("id2", F.col("id1") + n).join(ids.select(F.col("part_id1").alias("part_id2"), F.col("id1").alias("id2")), "id2")
+        for c, n in (PAIR_MSG, PAIR_DIFF)
+    ]
+    tables = Tables(message_pairs=pairs[0], diff_pairs=pairs[1], id_map=docs.select("repo", "hash", F.col("doc_id").alias("id")))
+    only_clones = Config(outliers=False, messages=False, diffs=False, metadata=False)
+    return run(docs.select("doc_id", "part", "repo", "hash"), tables, only_clones).select("doc_id", "part")
+
+
+@query(
+    f"SELECT s.* FROM ({S_SIZED}) s, ({S_LIMITS}) WHERE num_tokens BETWEEN num_tokens_lower AND num_tokens_upper "
+    "AND num_chars BETWEEN num_chars_lower AND num_chars_upper"
+)
+def thresholds_saved(spark, sf_dir):
+    rows = sized(spark, sf_dir)
+    renamed = {f"num_{c}": f"msg_num_{c}" for c in ("tokens", "chars")}
+    folder = f"{shared_dir(spark)}/thresholds-{uuid.uuid4().hex}"
+    outliers.save_percentiles(outliers.percentiles(rows.withColumnsRenamed(renamed), list(renamed.values())), folder)
+    kept = outliers.drop_outliers(rows.withColumnsRenamed(renamed), outliers.load_percentiles(spark, folder), list(renamed.values()))
+    return kept.withColumnsRenamed({new: old for old, new in renamed.items()})
+
+
+S_BAG = "list_transform(list_distinct(t), lambda u: u || '@@::@@' || len(list_filter(t, lambda v: v = u)))"
+
+
+@query(
+    f"SELECT doc_id, md5(head || array_to_string(list_sort({S_BAG}), ',')) AS line_md5 FROM (SELECT doc_id, t, "
+    f"concat_ws(',', 7, doc_id, len(t), len(list_distinct(t)), md5(x)) || '@#@' AS head FROM (SELECT doc_id, {S_MSG} AS x, {s_cut(S_MSG)} AS t FROM documents))"
+)
+def encoded_lines(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    lines = clones.encoded_lines(docs, F.lit(7), "doc_id", clones.message_text(F.col("text")))
+    head, tokens = F.split("value", "@#@").getItem(0), F.split("value", "@#@").getItem(1)
+    ordered = F.array_join(F.array_sort(F.split(tokens, ",")), ",")
+    return lines.select(F.split(head, ",").getItem(1).cast("long").alias("doc_id"), F.md5(F.concat(head, F.lit("@#@"), ordered)).alias("line_md5"))
+
+
+@query(
+    "SELECT idx, md5(body) AS hash FROM (SELECT doc_id AS idx, '{' || array_to_string(list_transform(map_entries(list_aggregate(t, 'histogram')), lambda e: '\"' || e.key || '\": ' || e.value), ', ') || '}' AS body "
+    f"FROM (SELECT doc_id, {s_cut(S_MSG)} AS t FROM documents) WHERE len(t) > 0)"
+)
+def encoded_hashes(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    lines = materialize(clones.encoded_lines(docs, F.lit(1), "doc_id", clones.message_text(F.col("text"))))
+    return clones.hashes_of_encoded(lines).select(F.col("idx").cast("long").alias("idx"), "hash")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

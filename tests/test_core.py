@@ -150,7 +150,7 @@ def test_pipeline_and_sources(spark, corpus, tmp_path):
     assert {r["repo"] for r in raw.select("repo").distinct().collect()} == {"org#one", "org#two"}
     named = raw.withColumns({"name": F.col("author")[0], "email": F.col("author")[1]})
     bots = spark.createDataFrame([("zed", "", "")], "name string, login string, email string")
-    repos = spark.createDataFrame([("org/one", "Go", "MIT"), ("org/two", "C", "BSD")], "name string, mainLanguage string, license string")
+    repos = spark.createDataFrame([("org/two", "D", "X", 0), ("org/one", "Go", "MIT", 1), ("org/two", "C", "BSD", 2)], "name string, mainLanguage string, license string, line int")
     out = run(named, Tables(bots=bots, repos=repos), Config(outliers=False))
     got = {r["hash"]: r for r in out.collect()}
     assert set(got) == {f"h{i}" for i in range(20)} | {"h34", "h40", "h50"}
@@ -169,10 +169,10 @@ def test_missing_metadata_fails_only_if_strict(spark):
     from corpusloom.operators.metadata import add_repo_metadata
 
     rows = spark.createDataFrame([("org#x",)], "repo string")
-    repos = spark.createDataFrame([("org/y", "Go", "MIT")], "name string, mainLanguage string, license string")
-    assert add_repo_metadata(rows, repos, strict=False).first()["language"] is None
+    repos = spark.createDataFrame([("org/y", "Go", "MIT", 0)], "name string, mainLanguage string, license string, line int")
+    assert add_repo_metadata(rows, repos, "line", strict=False).first()["language"] is None
     with pytest.raises(Exception, match="no metadata"):
-        add_repo_metadata(rows, repos).collect()
+        add_repo_metadata(rows, repos, "line").collect()
 
 
 def test_stream_gives_what_the_batch_gives(spark, corpus, tmp_path):
@@ -248,3 +248,121 @@ def test_surrogate_ids(spark):
     many = spark.range(1000).selectExpr("id AS k", "1000 - id AS at")
     assert all(r["id"] == 999 - r["k"] for r in surrogate_ids(many, ["k"], ["at"]).collect())
     assert surrogate_ids(df.limit(0), ["k"], ["at"]).count() == 0
+
+
+def test_files_of_clone_search(spark, tmp_path):
+    """Encoded examples, their hashes, groups gathered into one file, pairs, the map of ids: written and read again."""
+    rows = spark.createDataFrame([(0, "a b a"), (1, "b a a"), (2, "a b a"), (3, "..."), (4, "c")], "id int, text string")
+    for part, n in (("train", 1), ("val", 2)):
+        lines = clones.encoded_lines(rows, F.lit(n), "id", F.col("text"))
+        lines.write.text(str(tmp_path / part))
+    first = sorted(r["value"] for r in spark.read.text(str(tmp_path / "train")).collect())
+    assert first[0].startswith("1,0,3,2,") and first[0].endswith("@#@a@@::@@2,b@@::@@1") and first[1].endswith("@#@b@@::@@1,a@@::@@2") and first[3].endswith("@#@")
+    files = {p: str(tmp_path / p) for p in ("train", "val")}
+    plain = commits.write_hashes(spark, files, str(tmp_path / "h"), ("train", "val"), tokens_hash=False)
+    bags = commits.write_hashes(spark, files, str(tmp_path / "b"), ("train", "val"))
+    assert plain.count() == bags.count() == 8  # an example without tokens has no hash
+    commits.write_groups(commits.hash_groups(plain), str(tmp_path / "g"))
+    commits.gather_groups(spark, str(tmp_path / "g"), str(tmp_path / "one"))
+    made = [r["clones"] for r in spark.read.json(str(tmp_path / "one")).collect()]
+    assert sorted(made) == [[[1, 0], [1, 2], [2, 0], [2, 2]], [[1, 1], [2, 1]], [[1, 4], [2, 4]]]
+    assert sorted(map(len, (r["clones"] for r in commits.hash_groups(bags).collect()))) == [2, 6]
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    with pytest.raises(ValueError, match="train"):
+        commits.write_hashes(spark, files, str(tmp_path / "x"), ("val", "train"))
+    (tmp_path / "pairs.csv").write_text("1,0, 2,5\n1,3,1,4\n")
+    assert [tuple(r) for r in commits.read_pairs(spark, str(tmp_path / "pairs.csv")).collect()] == [(1, 0, 2, 5), (1, 3, 1, 4)]
+    ids = spark.createDataFrame([("r", "h1", 0), ("r", "h2", 1)], "repo string, hash string, id long")
+    commits.write_id_map(ids, str(tmp_path / "ids"))
+    assert sorted(map(tuple, commits.read_id_map(spark, str(tmp_path / "ids")).collect())) == [("r", "h1", 0), ("r", "h2", 1)]
+
+
+def test_lists_of_repositories(spark, tmp_path):
+    (tmp_path / "repos.json").write_text('{"name": "a/b", "github_url": "git://x/a/b"}\n{"name": "c", "github_url": "https://x/c"}\n')
+    listed = commits.read_repo_list(spark, str(tmp_path / "repos.json"))
+    assert sorted(map(tuple, listed.collect())) == [("a#b", "https://x/a/b"), ("c", "https://x/c")]
+    assert [r["name"] for r in commits.without_done(listed, listed.where("name = 'c'")).collect()] == ["a#b"]
+    (tmp_path / "search.csv").write_bytes(b"name,commits,mainLanguage,other\nx,12,Go\xff,z\ny,many,C,w\n")
+    found = {r["name"]: (r["commits"], r["mainLanguage"]) for r in commits.read_search_results(spark, str(tmp_path / "search.csv")).collect()}
+    assert found == {"x": (12, "Go"), "y": (None, "C")}
+
+
+def test_appending_and_formats(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "o#r", "h", "m")], "part string, repo string, hash string, message string")
+    for form in ("jsonl", "parquet"):
+        commits.write_commits(rows, str(tmp_path / form), form)
+        commits.write_commits(rows, str(tmp_path / form), form, append=True)
+    assert commits.read_commits(spark, str(tmp_path / "parquet"), data_format="parquet").count() == 2
+    commits.append_rows(rows.select(F.col("hash").alias("value")), str(tmp_path / "t"))
+    commits.append_rows(rows.select(F.col("hash").alias("value")), str(tmp_path / "t"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()] == ["h", "h"]
+    commits.register_format("lines", lambda s, root, parts, schema: s.read.text(root), lambda w, root: w.text(root))
+    assert commits.read_commits(spark, str(tmp_path / "t"), data_format="lines").count() == 2
+    del commits.FORMATS["lines"]
+    commits.write_diff_text(spark.createDataFrame([("train", ["a", "b"]), ("val", ["c"])], "part string, d array<string>").select("part", F.expr("transform(d, x -> named_struct('diff', x)) AS mods")), str(tmp_path / "d"), "|")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "d")).collect()] == ["a|b"]
+
+
+def test_judgements_of_parsers(spark):
+    from corpusloom.operators import filters
+
+    rows = spark.createDataFrame([(0, "Fix bug"), (1, "bugs. More"), (2, None)], "id int, text string")
+    vdo = filters.per_text(lambda x: x.split(" ")[0] == "Fix")
+    got = rows.select("id", *filters.filter_row(F.col("text"), F.col("text"), vdo(F.col("text")), punct=filters.per_text(lambda x: [True, False][x.count(".")]))).orderBy("id").collect()
+    assert [(r["is_vdo"], r["first_sentence_punct"], r["message_30_tokens"]) for r in got] == [(True, True, True), (False, False, True), (None, None, None)]
+    assert filters.starts_with_verb_and_object([("VERB", "ROOT", 0), ("NOUN", "dobj", 1)]) and not filters.starts_with_verb_and_object([("NOUN", "ROOT", 0)])
+    assert filters.first_verb_has_object([("VERB", "root", 0), ("ADV", "advmod", 1), ("NOUN", "obj", 1)]) and filters.first_verb_has_object([]) is None
+    with pytest.raises(ValueError):
+        filters.is_one_sentence(F.col("text"), "lines")
+    with pytest.raises(Exception, match="no judgement for 2"):
+        filters.with_judgements(rows, spark.createDataFrame([(0, True), (1, True)], "id int, judged boolean"), ["id"]).collect()
+
+
+def test_stages_and_counts(spark):
+    import pandas as pd
+    from corpusloom.operators.stats import counted
+    from corpusloom.plans.stages import chain, pandas_stage, stage
+
+    rows = spark.createDataFrame([(1, 5, 5), (2, 1, 9)], "id int, n_unique_msg int, n_unique_diff int")
+    from corpusloom.operators.metadata import drop_short
+
+    both = chain([stage(drop_short, columns=("n_unique_msg",)), pandas_stage(lambda pdf: pd.DataFrame({"id": pdf["id"] * 10}), "id int")])
+    df, seen = counted(both(rows), "kept")
+    assert [r["id"] for r in df.collect()] == [10] and seen.get["n"] == 1
+
+
+def test_paired_clones_and_parts_without_an_id(spark):
+    rows = spark.createDataFrame([("train", "r", f"h{i}") for i in range(4)] + [("val", "r", "h9")], "part string, repo string, hash string")
+    ids = spark.createDataFrame([("r", f"h{i}", i) for i in (0, 1, 2, 3, 9)], "repo string, hash string, id long")
+    pairs = spark.createDataFrame([(1, 0, 1, 1)], "part_id1 int, id1 long, part_id2 int, id2 long")
+    outer = spark.createDataFrame([(2, 9, 1, 3)], "part_id1 int, id1 long, part_id2 int, id2 long")
+    config = Config(outliers=False, messages=False, diffs=False, metadata=False)
+    kept = run(rows, Tables(message_pairs=pairs, diff_pairs=outer, id_map=ids), config)
+    assert {r["hash"] for r in kept.collect()} == {"h2", "h9"}
+    with pytest.raises(ValueError, match="no id"):
+        run(rows, Tables(message_pairs=pairs, diff_pairs=outer, id_map=ids, part_ids={"train": 1}), config)
+
+
+def test_tokenizer_parts(tmp_path):
+    from corpusloom.sources.tokenizers import build_tokenizer, make, save_tokenizer, tokenizer_tokens
+
+    assert tokenizer_tokens(messages=True)[:6] == ["[PAD]", "[UNK]", "[BOS]", "[EOS]", "[SEP]", "[MASK]"] and "[URL]" in tokenizer_tokens(messages=True)
+    made = build_tokenizer("custom", pre_tokenizer={"type": "Whitespace"}, normalizer={"type": "Lowercase"})
+    save_tokenizer(made, str(tmp_path / "t"))
+    held = json.loads((tmp_path / "t" / "diff_tokenizer.json").read_text())
+    assert held["pre_tokenizer"]["type"] == "Whitespace" and "[LONG]" in {t["content"] for t in held["added_tokens"]}
+    assert json.loads((tmp_path / "t" / "special_tokens_map.json").read_text())["cls_token"] == "[BOS]"
+    for bad in (lambda: build_tokenizer("other"), lambda: make("trainer", {"type": "BpeTrainer"}), lambda: make("model", {"type": "None"})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_rows_of_any_id(spark):
+    from corpusloom.operators.rows import keyed_rows
+
+    one = spark.createDataFrame([(5, "a"), (3, "b")], "id int, row string")
+    assert sorted((r["row"], r["doc"]["row"]) for r in keyed_rows(one, "id").collect()) == [(3, "b"), (5, "a")]
+    many = spark.createDataFrame([(2, "a"), (None, "z"), (1, "b"), (2, "a"), (None, "y")], "id int, row string")
+    got = keyed_rows(many, "id").collect()
+    assert len({r["row"] for r in got}) == 5 and [r["doc"]["id"] for r in sorted(got, key=lambda r: r["row"])] == [1, 2, 2, None, None]
+    assert keyed_rows(many.limit(0), "id").count() == 0
