@@ -290,15 +290,19 @@ def _firsts(met: DataFrame) -> DataFrame:
     return met.groupBy(*SAME).agg(F.min(F.struct("row", "start")).alias("at")).select(*SAME, "at.row", "at.start")
 
 
-def repeated_spans(rows: DataFrame, window: int, per_shard: int = 50_000) -> DataFrame:
-    """(row, start, windows): runs of windows of each row of (row, text) that also start earlier. A shard holds about ``per_shard`` words."""
+def repeated_spans(rows: DataFrame, window: int, per_shard: int = 200_000) -> DataFrame:
+    """(row, start, windows): runs of windows of each row of (row, text) that also start earlier.
+
+    A shard holds about ``per_shard`` words, at most twice as many; its automaton takes some 600 bytes a word. A minimizer
+    whose passages hold more than that is cut again.
+    """
     met = materialize(rows.mapInArrow(_cut(window), OCCURRENCES))
     live = materialize(_live(met))
     discard(met)
     wanted = _firsts(live).groupBy("row").agg(F.collect_list(F.struct(*SAME, "start")).alias("wanted"))
     reference = materialize(rows.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_fetch(window), f"{OCCURRENCES}, words binary"))
     for gram in (min(LONGER_GRAM, window), window):
-        hot = materialize(reference.groupBy("key").agg(F.sum(F.length("words") / 8).alias("n")).where(F.col("n") > per_shard / 4).select("key"))
+        hot = materialize(reference.groupBy("key").agg(F.sum(F.length("words") / 8).alias("n")).where(F.col("n") > per_shard).select("key"))
         if hot.isEmpty():
             break
         parts = materialize(reference.join(hot, "key", "left_semi").select(*SAME, "words").mapInArrow(_finer(window, gram), PARTS))
@@ -344,7 +348,7 @@ def _kept(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, per_shard: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window over it, a run of ``window`` consecutive words, also starts earlier: in a document of a
