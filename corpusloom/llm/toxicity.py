@@ -1,9 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Token features (a word and its prefixes) get log-odds between toxic and clean training texts under an informative
-Dirichlet prior; contexts that repeat, as in copies, count once. A linear-time scan finds every maximal scoring
-segment of a text. Segment scores are put on the scale of chance (Karlin and Altschul), several segments are judged
-together by their sum statistic, and a logistic curve fitted on the training rows turns that into a score.
+Words and, for words that training saw too seldom, their prefixes get signed log-odds between toxic and clean training
+texts under an informative Dirichlet prior, drawn towards zero by their own variance; contexts that repeat, as in copies,
+count once. Every token also pays a small cost, so that clean text drifts down. A linear-time scan finds every maximal
+scoring segment of a text. Segment scores are put on the scale of chance: lambda (Karlin and Altschul) solves the equation of
+the clean tokens' scores, K is fitted to the best segments of clean training texts. Several segments are judged together by
+their sum statistic, and a logistic curve fitted on the training rows turns that into a score.
 """
 
 from __future__ import annotations
@@ -17,30 +19,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import discard, materialize
+
 PREFIXES = (4, 5, 6)
 EDGES = b".,;:!?|\"'()[]{}<>*-"
 CACHE = 400_000
+BEST = 50  # segments of a training text that the calibration looks at, best first
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [w for w in (w.strip(EDGES) for w in text.lower().split()) if w]
 
 
-def features(word: str) -> list[str]:
-    """The word and its prefixes, the latter marked so as not to mix with words."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def parts(word: str) -> list[str]:
+    """The word and its prefixes, longest first, the latter marked so as not to mix with words."""
+    return [word, *(word[:n] + "*" for n in sorted(PREFIXES, reverse=True) if len(word) > n)]
 
 
 @dataclass
 class Model:
-    scores: dict[str, float]  # features that speak for toxicity
-    drift: float  # what every other token costs
+    scores: dict[str, float]  # log-odds of words and prefixes
+    cost: float  # what every token pays
     scale: float  # lambda of the extreme-value distribution
+    log_k: float = 0.0  # logarithm of its K
     weight: float = 1.0
     bias: float = 0.0
 
     def evidence(self, x: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.weight * x + self.bias))))
+        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.weight * math.log1p(x) + self.bias))))
 
 
 def maximal_segments(values: list[float]) -> list[tuple[int, int, float]]:
@@ -67,37 +73,35 @@ def maximal_segments(values: list[float]) -> list[tuple[int, int, float]]:
 def toxic_passages(text: bytes, model: Model, cache: dict | None = None) -> tuple[list[tuple[int, int, float]], int]:
     """(first token, end token, score) of every maximal segment, and the number of tokens.
 
-    Runs of tokens that all cost the drift enter the scan as one value, so its length is that of the hits.
+    A token's score is that of the word or else of its longest known prefix, less the cost. Tokens in a row that speak
+    against toxicity enter the scan as one value, so its length is that of the others.
     """
     cache = {} if cache is None else cache
-    words, hits = tokens(text), []
+    words, scores, cost = tokens(text), model.scores, model.cost
+    values, spots, run = [], [], 0.0
     for i, word in enumerate(words):
         score = cache.get(word)
         if score is None:
             if len(cache) > CACHE:
                 cache.clear()
-            known = (model.scores.get(f) for f in features(word.decode("utf-8", "replace")))
-            score = cache[word] = max((s for s in known if s), default=0.0)
-        if score:
-            hits.append((i, score))
-    if not hits:
-        return [], len(words)
-    values, spots, last = [], [], -1
-    for i, score in hits:
-        if i - last > 1:
-            values.append(-model.drift * (i - last - 1))
+            score = cache[word] = next((s for s in map(scores.get, parts(word.decode("utf-8", "replace"))) if s is not None), 0.0) - cost
+        if score > 0:
+            if run:
+                values.append(run)
+                spots.append(i)
+                run = 0.0
+            values.append(score)
             spots.append(i)
-        values.append(score)
-        spots.append(i)
-        last = i
+        else:
+            run += score
     return [(spots[a], spots[b - 1] + 1, s) for a, b, s in maximal_segments(values)], len(words)
 
 
-def surprise(segments: list[tuple[int, int, float]], length: int, scale: float) -> float:
+def surprise(segments: list[tuple[int, int, float]], length: int, model: Model) -> float:
     """Minus the logarithm of the chance of the best r segments together, for the r that is least likely; 0 if none."""
-    best, total, log_n = 0.0, 0.0, math.log(max(2, length))
+    best, total, log_n = 0.0, 0.0, max(0.0, model.log_k + math.log(max(2, length)))
     for r, s in enumerate(sorted((s for *_, s in segments), reverse=True), 1):
-        total += scale * s - log_n
+        total += model.scale * s - log_n
         if total <= 0:
             break
         best = max(best, total - (r - 1) * math.log(total + 1) + math.lgamma(r + 1) + math.lgamma(r))
@@ -108,11 +112,13 @@ def _held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, prior: float = 0.1, least: int = 4, z: float = 4.0, drift: float = 0.4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, prior: float = 0.1, least: int = 4, spread: float = 3.0, cost: float = 1.5) -> Model:
     """Fit on at most ``max_train`` labelled rows outside the held-out third (a bounded sample, by hash of the id).
 
-    Feature counts are aggregated on the cluster; only significant features (z above the threshold, toxic contexts at
-    least ``least``) and the bounded sample's surprises reach the driver. Without toxic or clean rows the model is empty.
+    Counts are aggregated on the cluster. What reaches the driver is a number for each word and prefix that occurs in at least
+    ``least`` contexts of the sample, and for each of its rows the best segments: both bounded by the sample. ``prior``: the
+    prior's weight, as a share of the counts; ``spread``: the variance of log-odds that one expects between words. Without
+    toxic or clean rows the model is empty.
     """
     sample = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
@@ -136,55 +142,54 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, prior: fl
                     names=["word", "context", "toxic"],
                 )
 
-    words = rows.mapInArrow(contexts, "word string, context long, toxic int").distinct().groupBy("word", "toxic").count()
-    parts = F.concat(F.array("word"), *[F.when(F.length("word") > n, F.array(F.concat(F.substring("word", 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in PREFIXES])
+    words = materialize(rows.mapInArrow(contexts, "word string, context long, toxic int").distinct().groupBy("word", "toxic").count())
+    starts = [F.when(F.length("word") > n, F.array(F.concat(F.substring("word", 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in PREFIXES]
     counted = (
-        words.select(F.explode(parts).alias("feature"), "toxic", "count")
-        .groupBy("feature")
+        words.select(F.explode_outer(F.concat(F.array("word"), *starts)).alias("part"), "toxic", "count")
+        .groupBy("part")
         .agg(F.sum(F.when(F.col("toxic") > 0, F.col("count")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("count"))).alias("b"))
     )
     sums = words.groupBy().agg(F.sum(F.when(F.col("toxic") > 0, F.col("count"))), F.sum(F.when(F.col("toxic") > 0, F.lit(None)).otherwise(F.col("count")))).first()
     if not sums[0] or not sums[1]:
-        return Model({}, drift, 1.0)
+        return Model({}, cost, 1.0)
     n1, n0 = float(sums[0]), float(sums[1])
     share = F.lit(prior) * (F.col("a") + F.col("b"))
     a, b = F.col("a") + share, F.col("b") + share
     rest1, rest0 = F.lit(n1 + prior * (n1 + n0)) - a, F.lit(n0 + prior * (n1 + n0)) - b
     odds = F.log(a / rest1) - F.log(b / rest0)
-    found = (
-        counted.where(F.col("a") >= least)
-        .select("feature", "b", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .where((F.col("z") > z) & (F.col("odds") > 1))
-        .orderBy(F.desc("z"), "feature")
-        .limit(max_train)
-        .collect()
-    )
-    scores = {r["feature"]: r["odds"] + 1.0 for r in found}
-    model = Model(scores, drift, _scale([(r["odds"] + 1.0, (r["b"] + 0.5) / n0) for r in found], drift))
+    found = counted.where(F.col("a") + F.col("b") >= least).select("part", "b", (odds * spread / (spread + 1 / a + 1 / b)).alias("score")).collect()
+    discard(words)
+    model = Model({r["part"]: r["score"] for r in found}, cost, _scale([(r["score"] - cost, r["b"]) for r in found if not r["part"].endswith("*")], n0, cost))
 
-    def surprises(batches):
+    def best_of(batches):
         cache: dict = {}
         for batch in batches:
-            x = [surprise(*toxic_passages(t.as_py() or b"", model, cache), model.scale) for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
+            scanned = [toxic_passages(t.as_py() or b"", model, cache) for t in batch.column(0).cast(pa.binary())]
+            kept = [sorted((s for *_, s in segments), reverse=True)[:BEST] for segments, _ in scanned]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kept, pa.list_(pa.float64())), pa.array([n for _, n in scanned], pa.int64()), batch.column(1)], names=["scores", "n", "toxic"]
+            )
 
-    pairs = rows.mapInArrow(surprises, "x double, toxic int").collect()
-    x, y = np.array([p["x"] for p in pairs]), np.array([float(p["toxic"] > 0) for p in pairs])
-    order = np.lexsort((y, x))  # rows arrive in any order
-    model.weight, model.bias = _logistic(x[order], y[order])
+    pairs = sorted((p["toxic"] > 0, p["n"], p["scores"]) for p in rows.mapInArrow(best_of, "scores array<double>, n long, toxic int").collect())  # rows arrive in any order
+    clean = [model.scale * s[0] - math.log(max(2, n)) for toxic, n, s in pairs if not toxic and s]
+    if clean:  # the mean of the extreme-value law is log(K n) + Euler's constant
+        model.log_k = float(np.mean(clean)) - 0.5772156649
+    x = np.array([surprise([(0, 0, s) for s in scores], n, model) for _, n, scores in pairs])
+    model.weight, model.bias = _logistic(np.log1p(x), np.array([float(toxic) for toxic, _, _ in pairs]))
     return model
 
 
-def _scale(positive: list[tuple[float, float]], drift: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1 under clean text."""
-    if not positive:
+def _scale(clean: list[tuple[float, float]], total: float, cost: float) -> float:
+    """The positive root of sum p exp(lambda s) = 1 over the scores of clean tokens; words without a score pay the cost."""
+    s, p = np.array([x for x, _ in clean]), np.array([(x + 0.5) / total for _, x in clean])
+    if not len(s) or s.max() <= 0:
         return 1.0
-    s, p = np.array([x for x, _ in positive]), np.array([x for _, x in positive])
-    p = p * min(1.0, 0.05 / p.sum())
+    rest = max(0.0, 1 - p.sum())
+    p = p / (p.sum() + rest)
     low, high = 1e-6, 50.0 / s.max()
     for _ in range(200):
         mid = (low + high) / 2
-        if (p * np.exp(mid * s)).sum() + (1 - p.sum()) * math.exp(-mid * drift) < 1:
+        if (p * np.exp(mid * s)).sum() + rest * math.exp(-mid * cost) < 1:
             low = mid
         else:
             high = mid
@@ -218,7 +223,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, id_col
             scores, found = [], []
             for text in batch.column(1).cast(pa.binary()):
                 segments, n = toxic_passages(text.as_py() or b"", model, cache)
-                scores.append(model.evidence(surprise(segments, n, model.scale)))
+                scores.append(model.evidence(surprise(segments, n, model)))
                 found.append([{"first": a, "end": b, "score": s} for a, b, s in segments])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
@@ -237,7 +242,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """``docs`` without the documents scored at ``threshold`` or more; the columns are unchanged."""
+    """``docs`` without the documents scored at ``threshold`` or more; the columns are unchanged.
+
+    Null, empty and white-space texts have no passages and stay unless that alone speaks for toxicity; long texts are read
+    whole; rows that share an id or have none are judged each by itself; further columns, whatever their names, are carried;
+    an empty table gives an empty table, and without labels nothing goes.
+    """
     model = train(docs, labels, **options)
     fields = docs.schema
 
@@ -245,7 +255,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **opt
         cache: dict = {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            keep = [model.evidence(surprise(*toxic_passages(t.as_py() or b"", model, cache), model.scale)) < threshold for t in texts]
+            keep = [model.evidence(surprise(*toxic_passages(t.as_py() or b"", model, cache), model)) < threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, fields)

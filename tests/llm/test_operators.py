@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, with the odd rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -563,6 +564,23 @@ def test_toxicity(spark):
         _, _, a, b = best
         return brute(values[:a]) + [(a, b)] + [(b + x, b + y) for x, y in brute(values[b:])]
 
+    # scores of tokens, cost and segments as by hand: the word's own log-odds or its longest known prefix's, signed
+    from corpusloom.llm.toxicity import Model, surprise, tokens, toxic_passages
+
+    hand = Model({"bad": 3.0, "wors*": 2.0, "worst": -1.0, "nice": -2.0}, 0.5, 1.0, -1.0)
+    text = b"bad, nice worse unknown worst WORSEN nice bad bad"
+    by_hand = [2.5, -2.5, 1.5, -0.5, -1.5, 1.5, -2.5, 2.5, 2.5]
+    segments, n = toxic_passages(text, hand)
+    assert n == len(tokens(text)) == len(by_hand) and [(a, b) for a, b, _ in segments] == [tuple(x) for x in brute(by_hand)]
+    assert [s for *_, s in segments] == pytest.approx([sum(by_hand[a:b]) for a, b, _ in segments])
+    total = 5.0 + 1.0 - math.log(9)  # lambda S - log(K n) of the best segment alone
+    assert surprise(segments[-1:], n, hand) == pytest.approx(total)
+    spent = [-s for *_, s in segments]
+    assert surprise([], n, hand) == 0 and surprise([(0, 1, x) for x in spent], n, hand) == 0
+    odd = clashing(spark, REPEATED)
+    kept = drop_toxic(odd, labels)
+    assert kept.schema == odd.schema and kept.count() == len(REPEATED)
+
     rng = random.Random(0)
     for _ in range(200):
         values = [rng.randrange(-9, 9) + rng.random() for _ in range(rng.randrange(14))]
