@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding by a streaming Viterbi pass.
 
-The lattice's arcs are the vocabulary's pieces. In a byte-pair vocabulary, a path is the encoding exactly if each piece
-is the encoding of itself and each two neighbours are the encoding of their concatenation; so an arc survives at a
-boundary only if it is compatible with the survivor it extends, and one does. Survivors reach back at most the
-longest piece: once the backpointer paths of all in that window converge on one boundary, the ids before it are final
-and are given out.
+The lattice's arcs are the vocabulary's pieces. In a unigram vocabulary, the survivor at a boundary is the arc of the best
+total score. In a byte-pair vocabulary, a path is the encoding exactly if each piece is the encoding of itself and each two
+neighbours are the encoding of their concatenation; so an arc survives at a boundary only if it is compatible with the
+survivor it extends, and one does. Other kinds are refused. Survivors reach back at most the longest piece: once the
+backpointer paths of all in that window converge on one boundary, the ids before it are final and are given out.
+
+A mark that follows anything but a mark is such a boundary for every path where no piece runs over one: all survivors pass
+it, so what stands between two is encoded by itself and remembered. Longer parts are streamed in the window.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+UNIGRAM, BYTE_PAIR = 1, 2
+UNKNOWN = 10.0  # what an unknown character costs below the least score
 CHECK = 64  # characters between looks for a common boundary
 CACHE = 200_000  # words in each of the two generations
 PAIRS = 400_000
@@ -33,10 +38,45 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _fields(data: bytes):
+    """(number, value) of each field of a protocol-buffer message: integers for varints, bytes for the rest."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or varint()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def model_kind(model: bytes) -> int:
+    """The kind that a SentencePiece model names in its trainer's settings (1: unigram, also if it names none; 2: byte-pair)."""
+    settings = next((v for number, v in _fields(model) if number == 2), b"")
+    return next((v for number, v in _fields(settings) if number == 3), UNIGRAM)
+
+
 class Pieces:
-    """A vocabulary read from the bytes of a SentencePiece model of the byte-pair kind with byte fallback."""
+    """A vocabulary read from the bytes of a SentencePiece model of the byte-pair or unigram kind that changes no text but its spaces."""
 
     def __init__(self, model: bytes):
+        self.kind = model_kind(model)
+        if self.kind not in (UNIGRAM, BYTE_PAIR):
+            raise ValueError(f"unknown kind {self.kind} of a model: unigram (1) and byte-pair (2) are known")
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.unknown = sp.unk_id()
@@ -50,13 +90,13 @@ class Pieces:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         # no piece runs over a line end, nor over a mark that follows anything but a mark
         self.split_lines = "\n" not in joined
-        self.split_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.split_marks = not any(MARK in p.lstrip(MARK) for p in self.ids) and MARK in self.ids and len(self.bytes) == 256
         order = sorted((i for p, i in self.ids.items() if len(p) > 1), key=lambda i: (-self.score[i], i))
         self.rank = {i: r for r, i in enumerate(order)}
         self.halves: dict[int, tuple[int, int]] = {}
         self.arcs: dict = {}  # a tree of the pieces read backwards; under 0 the id of the piece that is complete there
         for piece, i in self.ids.items():
-            if len(piece) > 1:
+            if len(piece) > 1 and self.kind == BYTE_PAIR:
                 parts = self._merged(piece, 2)
                 if len(parts) != 2 or parts[0] + parts[1] != piece:
                     continue  # not the encoding of itself: never part of an encoding
@@ -123,49 +163,61 @@ class Pieces:
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a normalised string's pieces (below zero for a character that is no piece), each given out once final."""
-        arcs, pairs, fits = self.arcs, self.pairs, self.fits
-        # of the survivor at base + k: the length of its last piece and the id
-        base, back, last = 0, [0], [-1]
+        arcs, pairs, fits, score = self.arcs, self.pairs, self.fits, self.score
+        by_score, unknown = self.kind == UNIGRAM, min(score, default=0.0) - UNKNOWN
+        # of the survivor at base + k: the length of its last piece, the id and, in a unigram vocabulary, the best total score
+        base, back, last, total = 0, [0], [-1], [0.0]
         end = len(text)
         for j in range(1, end + 1):
             node, i, length, piece = arcs, j, 1, -1
+            best = total[j - 1 - base] + unknown if by_score else 0.0
             while i > base:
                 i -= 1
                 node = node.get(text[i])
                 if node is None:
                     break
                 arc = node.get(0)
-                if arc is not None:
-                    before = last[i - base]
-                    if before >= 0:
-                        key = before << 20 | arc
-                        good = pairs.get(key)
-                        if good is None:
-                            if len(pairs) > PAIRS:
-                                pairs.clear()
-                            good = pairs[key] = fits(before, arc)
-                        if not good:
-                            continue
-                    length, piece = j - i, arc
-                    break
+                if arc is None:
+                    continue
+                if by_score:
+                    reached = total[i - base] + score[arc]
+                    # of equal scores the longer piece stays, and any piece before an unknown character
+                    if reached >= best or piece < 0 and i == j - 1:
+                        best, length, piece = reached, j - i, arc
+                    continue
+                before = last[i - base]
+                if before >= 0:
+                    key = before << 20 | arc
+                    good = pairs.get(key)
+                    if good is None:
+                        if len(pairs) > PAIRS:
+                            pairs.clear()
+                        good = pairs[key] = fits(before, arc)
+                    if not good:
+                        continue
+                length, piece = j - i, arc
+                break
             back.append(length)
             last.append(piece)
+            if by_score:
+                total.append(best)
             if j % CHECK == 0 and j < end:
                 boundary = self._converged(back, base, j)
                 if boundary > base:
-                    out, at = [], boundary
-                    while at > base:
-                        out.append((last[at - base], text[at - 1]))
-                        at -= back[at - base]
-                    for known, c in reversed(out):
-                        yield known if known >= 0 else -1 - ord(c)
-                    back, last, base = back[boundary - base :], last[boundary - base :], boundary
+                    yield from self._given(text, back, last, base, boundary)
+                    cut = boundary - base
+                    back, last, total, base = back[cut:], last[cut:], total[cut:], boundary
+        yield from self._given(text, back, last, base, end)
+
+    @staticmethod
+    def _given(text: str, back: list[int], last: list[int], base: int, end: int) -> Iterator[int]:
+        """The ids of the one path from ``base`` to a final boundary."""
         out, at = [], end
         while at > base:
-            out.append((last[at - base], text[at - 1]))
+            known = last[at - base]
+            out.append(known if known >= 0 else -1 - ord(text[at - 1]))
             at -= back[at - base]
-        for known, c in reversed(out):
-            yield known if known >= 0 else -1 - ord(c)
+        yield from reversed(out)
 
     def _converged(self, back: list[int], base: int, j: int) -> int:
         """The boundary on which the paths of all survivors in the window meet."""
@@ -178,9 +230,15 @@ class Pieces:
 
     def _codes(self, part: str) -> bytes:
         """Ids of a part of a text that no piece crosses, as little-endian 32-bit integers."""
-        out = []
+        out, open_run = [], False
         for piece in self.stream(part):
-            out += [piece] if piece >= 0 else [self.bytes.get(b, self.unknown) for b in chr(-1 - piece).encode("utf-8", "replace")]
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytes:
+                out += [self.bytes.get(b, self.unknown) for b in chr(-1 - piece).encode("utf-8", "replace")]
+            elif not open_run:  # without pieces for bytes, unknown characters in a row are one id
+                out.append(self.unknown)
+            open_run = piece < 0
         return array("i", out).tobytes()
 
     def _cached(self, part: str) -> bytes:

@@ -366,6 +366,55 @@ def test_pieces(spark):
     assert encode_documents(docs.limit(0)).count() == 0
 
 
+def unigram_model(pieces, kind=1):
+    """A SentencePiece model written field by field: (text, score, type) of each piece, no normalisation but spaces."""
+    import struct
+
+    def field(number, data):
+        size, head = len(data), b""
+        while size > 127:
+            head += bytes([size & 127 | 128])
+            size >>= 7
+        return bytes([number << 3 | 2]) + head + bytes([size]) + data
+
+    body = b"".join(field(1, field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + bytes([3 << 3, k])) for text, score, k in pieces)
+    settings = bytes([3 << 3, kind]) + (b"\x98\x02\x01" if any(k == 6 for *_, k in pieces) else b"")
+    normaliser = field(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1])
+    return body + field(2, settings) + field(3, normaliser)
+
+
+def test_unigram_vocabularies():
+    """Survivors by score: against the best of all cuts, and against the library; unknown kinds are refused."""
+    import sentencepiece
+    from corpusloom.llm.pieces import MARK, Pieces
+
+    rng = random.Random(7)
+    words = {"".join(rng.choice(f"abc{MARK}") for _ in range(rng.randrange(1, 5))) for _ in range(60)} | {MARK, "a", "b", "c"}
+    # quarters: sums are exact, so that the library's ties are ours
+    known = [(w, -rng.randrange(8, 80) / 4, 1) for w in sorted(words)]
+    special = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    scores = {w: s for w, s, _ in known}
+
+    def best(text):
+        top = [0.0] + [-1e9] * len(text)
+        for j in range(1, len(text) + 1):
+            top[j] = max((top[i] + scores[text[i:j]] for i in range(j) if text[i:j] in scores), default=-1e9)
+        return top[-1]
+
+    for fallback in (False, True):
+        model = unigram_model([*special, *([(f"<0x{b:02X}>", -90.0, 6) for b in range(256)] if fallback else ()), *known])
+        pieces, lib = Pieces(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+        for n in (1, 5, 30, 300, 1000):
+            text = "".join(rng.choice("abc ") for _ in range(n)).strip(" ") or "a"
+            ids = pieces.encode(text).tolist()
+            assert "".join(pieces.text[i] for i in ids) == MARK + text.replace(" ", MARK) and pieces.decode(ids) == text
+            assert sum(pieces.score[i] for i in ids) == pytest.approx(best(MARK + text.replace(" ", MARK)))
+            odd = text.replace("b", "é", 3)
+            assert len(pieces.encode(odd)) == len(lib.encode(odd)) and pieces.encode(odd).tolist().count(0) == lib.encode(odd).count(0)
+    with pytest.raises(ValueError, match="unknown kind"):
+        Pieces(unigram_model([*special, *known], kind=3))
+
+
 def test_pieces_stream_commits_early():
     from corpusloom.llm.pieces import default_model, loaded
 
