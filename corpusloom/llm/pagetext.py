@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, less with each level; an element's score is
+Paragraphs pass points for their length and commas to their ancestors, half as many with each level; an element's score is
 discounted by the share of its text that stands in links. The best container and the siblings that come near it are kept.
+Points, characters and commas are summed from the leaves up, and open tags are counted: the work is linear in the page.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*>""", re.S)
+# quotes enclose a value only after an equals sign
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*+)>|</?[a-zA-Z!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # fixed values: element names by their part in HTML
@@ -45,17 +47,24 @@ HOLDERS = frozenset("slot bar list box wrap wrapper container area block holder
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p span".split())
 NAME_PART = re.compile(r"[A-Za-z]+?(?=[A-Z]|[^A-Za-z]|\Z)")
 
+PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
+LISTS = frozenset("ul ol div section table dl".split())
+MENU_END = object()
+# what stands beside an article and belongs to it
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure".split())
 LEAST_PARAGRAPH = 25
 LINK_LIMIT = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "junk", "chars", "linked", "links", "whole", "marks")
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "passed", "junk", "chars", "linked", "links", "commas", "whole", "marks", "inside")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
-        self.score, self.junk, self.chars, self.linked, self.links, self.whole, self.marks = 0.0, False, 0, 0, 0, False, 0
+        self.score, self.passed, self.junk, self.chars, self.linked, self.links, self.commas, self.whole, self.marks = 0.0, 0.0, False, 0, 0, 0, 0, False, 0
+        #: whether an article or main stands above
+        self.inside = parent is not None and (parent.inside or _article(parent))
 
 
 def _parts(name: str) -> list[str]:
@@ -76,11 +85,8 @@ def _junk_name(name: str, names: frozenset) -> bool:
     return parts[-1] in names and not (own and parts[-1] == "header")
 
 
-def _in_article(node: Node) -> bool:
-    above = node.parent
-    while above is not None and above.tag not in ("article", "main") and not re.search(r"""\brole\s*=\s*["']?main\b""", above.attrs, re.I):
-        above = above.parent
-    return above is not None
+def _article(node: Node) -> bool:
+    return node.tag in ("article", "main") or bool(node.attrs) and re.search(r"""\brole\s*=\s*["']?main\b""", node.attrs, re.I) is not None
 
 
 def _junk(node: Node) -> bool:
@@ -90,17 +96,14 @@ def _junk(node: Node) -> bool:
     if node.tag in JUNK_TAGS:
         return True
     if node.tag == "header":
-        above = node.parent
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None
+        return not node.inside
     if not node.attrs or node.tag in ("html", "body"):
         return False
     names = REMARKS if node.tag in ("article", "main") else JUNK_NAMES
     for name, value in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            slug = node.tag in TEXT_TAGS or name == "id" and node.tag == "section" and _in_article(node)
+            slug = node.tag in TEXT_TAGS or name == "id" and node.tag == "section" and node.inside
             if not slug and any(_junk_name(x, names) for x in value.split()):
                 return True
         elif name == "role" and value.lower() in JUNK_ROLES:
@@ -116,6 +119,17 @@ def parse(html: str) -> Node:
     """A tree of elements and raw text; end tags that are missing or astray are mended in the way of browsers."""
     root = Node("html", "", None)
     at, here, end = 0, root, len(html)
+    opened: dict[str, int] = {}  # how many of each name are open: an end tag without one is not looked for
+
+    def close(node: Node) -> Node:
+        """What is open after ``node`` and all in it are closed."""
+        inner = here
+        while inner is not node:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     while at < end:
         m = TOKEN.search(html, at)
         if m is None:
@@ -129,44 +143,47 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = here
+            node = here if opened.get(tag) else None
             while node is not None and node.tag != tag:
                 # an inline end tag does not close blocks
                 node = None if node.tag in BLOCK and tag not in BLOCK else node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
+                here = close(node)
             elif tag == "br":
                 here.children.append(" ")
             continue
         attrs = m[3]
         if tag in ("html", "body", "head"):
-            if tag == "body":
-                while here.parent is not None:
-                    here = here.parent
+            if tag == "body" and here is not root:
+                top = here
+                while top.parent is not root:
+                    top = top.parent
+                here = close(top)
             if tag != "head":
                 continue
         if tag in ENDS_P:
-            node = here
-            while node is not None and node.tag != "p" and (node.tag not in BLOCK or node.tag == "p"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
+            node = here if opened.get("p") else None
+            while node is not None and node.tag != "p":
+                node = None if node.tag in BLOCK else node.parent
+            if node is not None:
+                here = close(node)
         elif tag in SAME:
-            stop, node = SAME[tag].split(), here
             closes = (tag,) if tag not in ("dt", "dd", "td", "th") else (("dt", "dd") if tag in ("dt", "dd") else ("td", "th"))
-            while node is not None and node.tag not in closes and node.tag not in stop:
-                node = node.parent
-            if node is not None and node.tag in closes:
-                here = node.parent
+            stop, node = SAME[tag].split(), here if any(opened.get(x) for x in closes) else None
+            while node is not None and node.tag not in closes:
+                node = None if node.tag in stop else node.parent
+            if node is not None:
+                here = close(node)
         node = Node(tag, attrs, here)
         here.children.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
+            found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = found.end() if found else end
             continue
         here = node
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -212,7 +229,7 @@ def _measure(root: Node) -> None:
                 if isinstance(child, Node):
                     stack.append((child, False, inner))
             continue
-        own, commas = 0, 0
+        own = 0
         for child in node.children:
             if isinstance(child, Node):
                 if not child.junk:
@@ -220,24 +237,28 @@ def _measure(root: Node) -> None:
                     node.linked += child.linked
                     node.links += child.links
                     node.marks += child.marks
+                    node.commas += child.commas
+                    node.score += child.passed
             else:
                 n = len(child.strip())
                 own += n
                 node.chars += n
+                node.commas += child.count(",")
         if node.tag == "h1" and node.chars:
             node.marks += 1
         if node.tag == "a":
             node.linked, node.links = node.chars, node.links + 1
-        if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") or own >= LEAST_PARAGRAPH and node.tag in BLOCK:
+        whole = 0.0  # what a paragraph gives its parent in full
+        if node.tag in PARAGRAPHS or own >= LEAST_PARAGRAPH and node.tag in BLOCK:
             counted = node.chars if node.tag in ("p", "pre") else own
             if counted >= LEAST_PARAGRAPH:
-                commas = sum(c.count(",") for c in _texts(node))
                 node.marks += node.linked <= LINK_LIMIT * node.chars
-                points = (1 + commas + min(counted / 100, 3)) * (1 - node.linked / max(1, node.chars))
-                above, level = (node.parent, 1) if node.tag in ("p", "pre", "li", "td", "dd") else (node, 1)
-                while above is not None:
-                    above.score += points / level
-                    above, level = above.parent, level + 1
+                points = (1 + node.commas + min(counted / 100, 3)) * (1 - node.linked / max(1, node.chars))
+                if node.tag in ("p", "pre", "li", "td", "dd"):
+                    whole = points
+                else:
+                    node.score += points
+        node.passed = whole + node.score / 2
     for node in _elements(root):
         if not node.junk:
             if node.tag in ("article", "main"):
@@ -247,17 +268,6 @@ def _measure(root: Node) -> None:
             node.score *= 1 - node.linked / max(1, node.chars)
 
 
-def _texts(node: Node):
-    stack = [node]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, Node):
-                if not child.junk:
-                    stack.append(child)
-            else:
-                yield child
-
-
 def _elements(root: Node):
     stack = [root]
     while stack:
@@ -295,28 +305,34 @@ def _chosen(root: Node) -> list[Node]:
     for child in outer.parent.children:
         if not isinstance(child, Node) or child.junk:
             continue
-        density = child.linked / max(1, child.chars)
-        if child is outer or child.score >= near or child.tag == "p" and child.chars > 80 and density < 0.25:
+        if child is outer or child.score >= near or child.tag in TEXT_BLOCKS and child.linked <= LINK_LIMIT * child.chars:
             out.append(child)
     return out
 
 
 def _blocks(nodes: list[Node]) -> list[str]:
-    """The text of the nodes cut at block elements, references decoded, white space made one space."""
-    blocks, run = [], []
+    """The text of the nodes cut at block elements, references decoded, white space made one space.
+
+    A list mostly of links is a menu without a name if it stands outside an article and before or after all its paragraphs.
+    """
+    blocks: list[tuple[str, bool]] = []
+    run: list[str] = []
+    menus = 0
 
     def flush():
         text = " ".join(unescape("".join(run)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, menus > 0))
         run.clear()
 
     for top in nodes:
+        plain = not top.inside and not _article(top)
         stack: list = [top]
         while stack:
             item = stack.pop()
-            if item is None:
+            if item is None or item is MENU_END:
                 flush()
+                menus -= item is MENU_END
             elif isinstance(item, str):
                 run.append(item)
             elif item.junk:
@@ -324,15 +340,16 @@ def _blocks(nodes: list[Node]) -> list[str]:
             elif item.tag == "br":
                 run.append(" ")
             else:
-                block = item.tag in BLOCK
-                if block and item is not top and item.links >= 3 and item.tag in ("ul", "ol", "div", "section", "table", "dl") and item.linked > LINK_LIMIT * item.chars:
-                    continue  # a menu without a name
-                if block:
+                if item.tag in BLOCK:
                     flush()
-                    stack.append(None)
+                    listed = plain and item is not top and item.links >= 3 and item.tag in LISTS and item.linked > LINK_LIMIT * item.chars
+                    menus += listed
+                    stack.append(MENU_END if listed else None)
                 stack.extend(reversed(item.children))
         flush()
-    return blocks
+    text = [i for i, (x, menu) in enumerate(blocks) if not menu and len(x) >= LEAST_PARAGRAPH]
+    first, last = (text[0], text[-1]) if text else (0, -1)
+    return [x for i, (x, menu) in enumerate(blocks) if not menu or first < i < last]
 
 
 def main_text(html: str | None) -> str:

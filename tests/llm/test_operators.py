@@ -494,6 +494,61 @@ def test_short_sections_beside_the_longest():
     assert main_text(page).split("\n\n") == ["Mill", "Long", *[words] * 9, "Short", short, "One", "Two", "End."]
 
 
+def test_lists_titles_and_quotes_of_an_article():
+    from corpusloom.llm.pagetext import main_text
+
+    words = "The river rose again in spring, and the mill, as ever, stood in water to the second step."
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Source {i}</a></li>" for i in range(4)) + "</ul>"
+    listed = "\n\n".join(f"Source {i}" for i in range(4))
+    # sources in an article stay; a nameless menu before the text of a page without one goes
+    assert main_text(f"<body><article><p>{words}</p>{links}</article></body>") == f"{words}\n\n{listed}"
+    assert main_text(f"<body>{links}<div><p>{words}</p>{links}<p>{words}</p></div>{links}</body>") == f"{words}\n\n{listed}\n\n{words}"
+    assert main_text(f"<body><div><h1>Mill</h1><article><p>{words}</p></article><p>End.</p></div></body>") == f"Mill\n\n{words}\n\nEnd."
+    # an apostrophe in a value without quotes encloses nothing
+    assert main_text(f"<body><div><p title=it's>One's own words, and more of them here.</p><p>{words}</p></div></body>") == f"One's own words, and more of them here.\n\n{words}"
+    assert main_text(f"<article><p data-x = 'a > b' data-y=\"c > d\">{words}</p></article>") == words
+
+
+def test_points_of_random_trees():
+    """Scores summed from the leaves up against paragraphs that climb one by one."""
+    from corpusloom.llm import pagetext as P
+
+    rng = random.Random(5)
+    for _ in range(40):
+        def tree(depth):
+            if depth == 0 or rng.random() < 0.3:
+                return f"<p>{'word, ' * rng.randrange(9)}<a href=x>{'link ' * rng.randrange(4)}</a></p>"
+            tag = rng.choice(["div", "section", "blockquote", "ul"])
+            return f"<{tag}>{'loose text, ' * rng.randrange(4)}{''.join(tree(depth - 1) for _ in range(rng.randrange(1, 4)))}</{tag}>"
+
+        root = P.parse(f"<body>{tree(5)}</body>")
+        P._measure(root)
+        raw = {}
+        for node in P._elements(root):
+            own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            counted = node.chars if node.tag in ("p", "pre") else own
+            if (node.tag in P.PARAGRAPHS or own >= 25 and node.tag in P.BLOCK) and counted >= 25:
+                points = (1 + node.commas + min(counted / 100, 3)) * (1 - node.linked / max(1, node.chars))
+                above, level = (node.parent, 0) if node.tag == "p" else (node, 0)
+                while above is not None:
+                    raw[id(above)] = raw.get(id(above), 0) + points / 2**level
+                    above, level = above.parent, level + 1
+        for node in P._elements(root):
+            assert node.score == pytest.approx(raw.get(id(node), 0) * (1 - node.linked / max(1, node.chars)))
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    from corpusloom.llm.pagetext import main_text
+
+    words = "The river rose again in spring, and the mill, as ever, stood in water."
+    for page in ("<div>" * 20_000 + f"<p>{words}</p>", f"<div><p>{words}" * 20_000, "<section>" * 20_000 + "</b></i></article>" * 20_000 + words, f"<blockquote>{words}" * 20_000, "<header>" * 20_000 + words):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 6  # a second or two on a quiet machine
+
+
 def test_names_around_the_article():
     from corpusloom.llm.pagetext import main_text
 
