@@ -42,6 +42,41 @@ SENTENCES = (
     ("ccbysa4-line", "licensed under cc by sa 4 0"),
     ("cc0-line", "licensed under cc0 1 0"),
     ("mpl2-line", "this source code form is subject to the terms of the mozilla public license v 2 0*"),
+    ("mpl2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at*"),
+    ("mpl2-title", "mozilla public license version 2 0*"),
+    ("mpl2-contributor", "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software"),
+    ("apache2-title", "apache license version 2 0*"),
+    ("apache2-terms", "terms and conditions for use reproduction and distribution*"),
+    ("gpl-title", "gnu general public license version 2*"),
+    ("gpl2-copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl2-copies", "franklin street fifth floor boston ma 02110 1301 usa everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl2-copies", "temple place suite 330 boston ma 02111 1307 usa everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl2-copies", "copyright c 1989 1991 free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa everyone is permitted*"),
+    ("gpl2-copies", "https fsf org everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2*"),
+    ("gpl2-free", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2*"),
+    ("gpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3*"),
+    ("gpl3-free", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3*"),
+    ("gpl3-title", "gnu general public license version 3*"),
+    ("lgpl2-title", "gnu lesser general public license version 2 1*"),
+    ("lgpl3-title", "gnu lesser general public license version 3*"),
+    ("lgpl-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license*"),
+    ("lgpl-hope", "this library is distributed in the hope that it will be useful but without any warranty*"),
+    ("lgpl-copy", "you should have received a copy of the gnu lesser general public license along with this library*"),
+    ("agpl3-title", "gnu affero general public license version 3*"),
+    ("agpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license*"),
+    ("agpl-copy", "you should have received a copy of the gnu affero general public license along with this program*"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-asis", "the software is provided as is and the author disclaims all warranties*"),
+    ("unlicense-domain", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "anyone is free to copy modify publish use compile sell or distribute this software*"),
+    ("epl2-line", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0*"),
+    ("epl2-line", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0*"),
+    ("zlib-asis", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely*"),
+    ("bsl-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license*"),
+    ("wtfpl-title", "do what the fuck you want to public license*"),
     ("spdx-line", "spdx license identifier*"),
 )
 # fixed values: ordered rules (licence, identifiers)
@@ -60,6 +95,23 @@ RULES = (
     ("CC-BY-SA-4.0", ("ccbysa4-line",)),
     ("CC0-1.0", ("cc0-line",)),
     ("MPL-2.0", ("mpl2-line",)),
+    ("MPL-2.0", ("mpl2-title", "mpl2-contributor")),
+    ("Apache-2.0", ("apache2-title", "apache2-terms")),
+    ("GPL-2.0", ("gpl-title", "gpl2-copies")),
+    ("GPL-3.0", ("gpl3-title", "gpl2-copies")),
+    ("LGPL-2.1", ("lgpl2-title", "gpl2-copies")),
+    ("LGPL-3.0", ("lgpl3-title", "gpl2-copies")),
+    ("AGPL-3.0", ("agpl3-title", "gpl2-copies")),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope")),
+    ("GPL-3.0", ("gpl3-free", "gpl-hope")),
+    ("LGPL", ("lgpl-free", "lgpl-hope", "lgpl-copy")),
+    ("AGPL-3.0", ("agpl-free", "gpl-hope", "agpl-copy")),
+    ("ISC", ("isc-grant", "isc-asis")),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
+    ("EPL-2.0", ("epl2-line",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("WTFPL", ("wtfpl-title",)),
 )
 SENTENCE_END = r"\n|[.;:!?](?=[ \t\r\n]|\z)"
 NOT_WORD = r"[^a-z0-9]+"
@@ -72,7 +124,7 @@ SPDX_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
 _SPDX_TERM = rf"\(*{SPDX_NAME}(?:[ \t]+WITH[ \t]+{SPDX_NAME})?\)*"
 SPDX = rf"SPDX-License-Identifier:[ \t]*({_SPDX_TERM}(?:[ \t]+(?:AND|OR)[ \t]+{_SPDX_TERM})*)"
 # fixed values: SPDX names of what RULES call otherwise; all other names stand for themselves
-SPDX_NAMES = {"GPL-3.0-ONLY": "GPL-3.0", "GPL-3.0-OR-LATER": "GPL-3.0", "GPL-3.0+": "GPL-3.0"}
+SPDX_NAMES = {f"{n}{end}": n for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("-ONLY", "-OR-LATER", "+")}
 
 
 def normalised(sentence: Column) -> Column:
@@ -80,13 +132,16 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
 
 
+def longest_first(sentences) -> list[tuple[str, str]]:
+    return sorted(sentences, key=lambda x: -len(x[1]))
+
+
 def _identifier(sentence: Column, sentences) -> Column:
+    """The identifier of a known sentence: an equal one's, or else that of the longest start of it."""
     exact = {s: i for i, s in sentences if not s.endswith("*")}
     known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
-    found = F.try_element_at(known, sentence)
-    for name, start in ((i, s[:-1]) for i, s in sentences if s.endswith("*")):
-        found = F.coalesce(found, F.when(sentence.startswith(start), F.lit(name)))
-    return found
+    starts = [F.when(sentence.startswith(s[:-1]), F.lit(i)) for i, s in longest_first(sentences) if s.endswith("*")]
+    return F.coalesce(F.try_element_at(known, sentence), *starts)
 
 
 def _holds(spots: Column, rule: tuple[str, ...], gap: int) -> Column:

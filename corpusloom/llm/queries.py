@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.exact import exact_dedup
-from corpusloom.llm.licences import RULES, SENTENCES, scan_licences
+from corpusloom.llm.licences import RULES, SENTENCES, longest_first, scan_licences
 from corpusloom.llm.lines import line_report
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.pagetext import extract_pages
@@ -84,7 +84,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def _licence_sql() -> str:
     quote = lambda s: "'" + s + "'"
     cases = [f"WHEN s = {quote(s)} THEN {quote(i)}" for i, s in SENTENCES if not s.endswith("*")]
-    cases += [f"WHEN starts_with(s, {quote(s[:-1])}) THEN {quote(i)}" for i, s in SENTENCES if s.endswith("*")]
+    cases += [f"WHEN starts_with(s, {quote(s[:-1])}) THEN {quote(i)}" for i, s in longest_first(SENTENCES) if s.endswith("*")]
     # an ordered rule as a pattern over the coded sequence: at most two other sentences between two of it
     names = sorted({i for i, _ in SENTENCES})
     code = {n: f"<{k}>" for k, n in enumerate(names)}

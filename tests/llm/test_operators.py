@@ -758,6 +758,36 @@ CONTRIBUTORS "AS IS"."""
     assert got[5:] == [["MIT"], ["GPL"], ["Apache-2.0"], ["MIT"], ["Apache-2.0", "GPL-3.0", "Zlib"], ["MIT"]]
 
 
+def test_licence_files_and_headers(spark):
+    """The starts of the licence files and their notices, as published: wrapped, commented, and with every paragraph on one line."""
+    from corpusloom.llm.licences import scan_licences
+
+    gnu = "GNU {0}GENERAL PUBLIC LICENSE\n   Version {1}\n\n Copyright (C) {2} Free Software Foundation, Inc.{3}\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\nPreamble\n"
+    street = "\n 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+    notice = "This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2}General Public License as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY.\n\nYou should have received a copy of the GNU {2}General Public License\nalong with this {0}."
+    texts = {
+        "Apache-2.0": "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.",
+        "GPL-2.0": gnu.format("", "2, June 1991", "1989, 1991", "," + street),
+        "GPL-3.0": gnu.format("", "3, 29 June 2007", "2007", " <https://fsf.org/>"),
+        "LGPL-2.1": gnu.format("LESSER ", "2.1, February 1999", "1991, 1999", street),
+        "AGPL-3.0": gnu.format("AFFERO ", "3, 19 November 2007", "2007", " <https://fsf.org/>"),
+        "MPL-2.0": 'Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. "Contributor"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software.\n',
+        "ISC": 'Copyright (c) 2020, A Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE.',
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary.",
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    }
+    more = [
+        ("GPL-2.0", notice.format("program", ";", "", ";", "2")), ("GPL-3.0", notice.format("program", ":", "", ", ", "3")), ("AGPL-3.0", notice.format("program", ":", "Affero ", ", ", "3")),
+        ("LGPL", notice.format("library", ";", "Lesser ", ";", "2.1")),
+    ]
+    cases = [*texts.items(), *more]
+    unwrapped = [(name, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text))) for name, text in cases]
+    led = [(name, "\n".join("# " + x for x in text.split("\n"))) for name, text in more]
+    every = cases + unwrapped + led
+    got = [r["licences"] for r in scan_licences(frame(spark, [text for _, text in every])).orderBy("doc_id").collect()]
+    assert [(name, name in found) for (name, _), found in zip(every, got)] == [(name, True) for name, _ in every]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from pyspark.sql import functions as F
