@@ -138,6 +138,14 @@ ORACLE_SQL = {
     SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
       (floor(target)::BIGINT // source_size) * size + greatest(0, least(size, floor(target)::BIGINT % source_size - before)) END::BIGINT AS taken
     FROM p""",
+    "op7_embeddings": """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT node, l.b FROM reach JOIN l ON seen = l.a),
+    c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id""",
     "op8_substring": rf"""
     WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
