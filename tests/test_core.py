@@ -366,3 +366,13 @@ def test_rows_of_any_id(spark):
     got = keyed_rows(many, "id").collect()
     assert len({r["row"] for r in got}) == 5 and [r["doc"]["id"] for r in sorted(got, key=lambda r: r["row"])] == [1, 2, 2, None, None]
     assert keyed_rows(many.limit(0), "id").count() == 0
+
+
+def test_first_of_each_text_in_a_stream(spark, tmp_path):
+    from corpusloom.streaming.stages import first_within
+
+    rows = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2)], "text string, s long").select("text", F.timestamp_seconds("s").alias("at"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = first_within(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "text", "at", "1 hour")
+    stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert sorted(r["text"] for r in spark.table("firsts").collect()) == ["a", "b"]
