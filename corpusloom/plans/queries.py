@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning as C
+from corpusloom.functions import dates
 from corpusloom.functions import text as T
 from corpusloom.operators import clones, diffs, filters, messages, metadata, outliers, stats
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ids import surrogate_ids as number_keys
-from corpusloom.plans.pipeline import Config, Tables, run
+from corpusloom.plans.pipeline import Config, Tables, drop_by_metadata, run
 from corpusloom.runtime import load, materialize, shared_dir
 from corpusloom.sources import commits
 
@@ -785,5 +786,32 @@ def encoded_hashes(spark, sf_dir):
     return clones.hashes_of_encoded(lines).select(F.col("idx").cast("long").alias("idx"), "hash")
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%d.%m.%Y %H:%M:%S') AS date, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') AS day FROM orders")
+def date_formats(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", dates.format_date(F.col("o_orderdate").cast("timestamp")).alias("date"))
+    return rows.withColumn("day", F.date_format(dates.parse_date(F.col("date")), "yyyy-MM-dd"))
+
+
+STAGED = (
+    "doc_id", f"{PART} AS part", "CASE WHEN doc_id % 23 = 0 THEN 'helper[bot]' ELSE concat('u', doc_id * 7 % 61) END AS name", "concat('m', doc_id % 13, '@x.org') AS email",
+    "concat('org#', source) AS repo", "doc_id % 5 AS n_unique_msg", "doc_id % 4 AS n_unique_diff",
+)
+
+
+@query(
+    f"WITH d AS (SELECT {', '.join(STAGED)} FROM documents), o AS (SELECT name, email FROM d WHERE part <> 'train'), "
+    "r AS (SELECT 'org/' || source AS repo_name, arg_max(lang, doc_id) AS language, arg_max('L-' || lang, doc_id) AS license FROM documents GROUP BY 1), "
+    "m AS (SELECT name, email, repo, max(doc_id) AS author_id FROM d GROUP BY ALL) "
+    "SELECT doc_id, part, language, license, author_id FROM d JOIN r ON repo_name = replace(repo, '#', '/') JOIN m USING (name, email, repo) "
+    "WHERE n_unique_msg > 1 AND n_unique_diff > 1 AND name NOT IN ('helper[bot]', 'u7', 'u11') AND (part <> 'train' OR NOT EXISTS (FROM o WHERE o.name = d.name AND o.email = d.email))"
+)
+def metadata_stage(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").selectExpr(*STAGED)
+    bots = spark.createDataFrame([("u7", "", ""), ("x", "u11", "")], "name string, login string, email string")
+    known = rows.select("name", "email", "repo", F.col("doc_id").alias("id"), F.col("doc_id").alias("line"))
+    repos = repo_table(spark, sf_dir).withColumnRenamed("doc_id", "line")
+    return drop_by_metadata(rows, Tables(bots=bots, authors_map=known, repos=repos), Config()).select("doc_id", "part", "language", "license", "author_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors_by_language(spark, sf_dir)

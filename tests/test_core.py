@@ -376,3 +376,20 @@ def test_first_of_each_text_in_a_stream(spark, tmp_path):
     stream = first_within(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "text", "at", "1 hour")
     stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
     assert sorted(r["text"] for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def test_enrichment_resumes(spark, tmp_path):
+    from corpusloom.sources.enrich import enrich
+
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+
+    def fetch(name):
+        if name == "b":
+            raise OSError("no such repository")
+        return {"stars": len(name), "license": "MIT"}
+
+    first = enrich(names.where("name < 'c'"), fetch, "stars long, license string")
+    commits.append_rows(first, str(tmp_path / "out"))
+    done = spark.read.schema("name string, stars long, license string").json(str(tmp_path / "out"))
+    assert sorted(map(tuple, done.collect())) == [("a", 1, "MIT"), ("b", None, None)]
+    assert [tuple(r) for r in enrich(names, fetch, "stars long, license string", done).collect()] == [("c", 1, "MIT")]
