@@ -86,6 +86,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {self.text[i]: i for i in range(n) if i not in self.special and i not in self.byte_of and not sp.is_unused(i)}
         self.score = [sp.get_score(i) for i in range(n)]
+        self.least = min(self.score)
         self.longest = max(map(len, self.ids))
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         # no piece runs over a line end, nor over a mark that follows anything but a mark
@@ -164,7 +165,7 @@ class Pieces:
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a normalised string's pieces (below zero for a character that is no piece), each given out once final."""
         arcs, pairs, fits, score = self.arcs, self.pairs, self.fits, self.score
-        by_score, unknown = self.kind == UNIGRAM, min(score, default=0.0) - UNKNOWN
+        by_score, unknown = self.kind == UNIGRAM, self.least - UNKNOWN
         # of the survivor at base + k: the length of its last piece, the id and, in a unigram vocabulary, the best total score
         base, back, last, total = 0, [0], [-1], [0.0]
         end = len(text)
