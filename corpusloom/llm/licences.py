@@ -6,11 +6,14 @@ at most ``gap`` other sentences between two. All of it is native expressions ove
 
 A text is read twice. The first reading ends sentences at line ends, too, and gives one-line notices. Licences are usually
 wrapped, often in comments, so the second takes a line end, with the comment leader after it, as a space; sentences end at
-punctuation or blank lines. A rule holds if it does in either reading. SPDX lines name their licences themselves.
+punctuation or blank lines. A rule holds if it does in either reading. SPDX lines name their licences themselves. Sentences
+are made and looked up only in texts that hold one of a few words, of which every known sentence has one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +135,17 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
 
 
+def anchors(sentences) -> list[str]:
+    """Words, as few as a greedy choice gives, of which every known sentence holds one: a text without any of them holds no known sentence."""
+    left, chosen = {s for _, s in sentences}, []
+    whole = lambda s: s.split(" ") if not s.endswith("*") else s.split(" ")[:-1] or [s[:-1]]  # noqa: E731  what follows a start may go on in its last word
+    while left:
+        words = sorted({w for s in left for w in whole(s)}, key=lambda w: (len(w) < 7, -sum(w in s for s in left), w))
+        chosen.append(words[0])
+        left = {s for s in left if words[0] not in s}
+    return chosen
+
+
 def longest_first(sentences) -> list[tuple[str, str]]:
     return sorted(sentences, key=lambda x: -len(x[1]))
 
@@ -189,13 +203,16 @@ def scan_licences(
     empty result; further columns are ignored. Where two rules hold for overlapping sentences, both are named. Counts and
     sentence_ids are those of the first reading; licences are those of both readings and of SPDX lines.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = F.transform(F.split(text, SENTENCE_END), lambda s: normalised(s))
-    pieces = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.filter(cut, lambda s: s != "").alias("sentences"),
-        _wrapped(text).alias("wrapped"),
-        _spdx(text, rules).alias("spdx"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    told = reduce(Column.__or__, [F.col("low").contains(word) for word in anchors(sentences)])
+    none = F.array().cast("array<string>")
+    cut = F.filter(F.transform(F.split("text", SENTENCE_END), lambda s: normalised(s)), lambda s: s != "")
+    pieces = rows.withColumn("told", told).select(
+        "doc_id",
+        F.size(F.filter(F.split("low", SENTENCE_END), lambda s: s.rlike("[a-z0-9]"))).cast("long").alias("n_sentences"),
+        F.when(F.col("told"), cut).otherwise(none).alias("sentences"),
+        F.when(F.col("told"), _wrapped(F.col("text"))).otherwise(none).alias("wrapped"),
+        F.when(F.col("text").contains("SPDX-License-Identifier"), _spdx(F.col("text"), rules)).otherwise(none).alias("spdx"),
     )
     spots_of = lambda ids: F.filter(
         F.transform(ids, lambda x, i: F.struct(i.cast("int").alias("pos"), x.alias("id"))), lambda x: x["id"].isNotNull()
@@ -204,7 +221,7 @@ def scan_licences(
     joined = F.transform("wrapped", lambda s, i: F.coalesce(_identifier(s, sentences), _identifier(F.concat_ws(" ", s, F.get("wrapped", i + 1)), sentences)))
     spotted = pieces.select(
         "doc_id",
-        F.size("sentences").cast("long").alias("n_sentences"),
+        "n_sentences",
         spots_of(F.transform("sentences", lambda s: _identifier(s, sentences))).alias("spots"),
         spots_of(joined).alias("wrapped"),
         "spdx",

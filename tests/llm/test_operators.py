@@ -758,6 +758,14 @@ CONTRIBUTORS "AS IS"."""
     assert got[5:] == [["MIT"], ["GPL"], ["Apache-2.0"], ["MIT"], ["Apache-2.0", "GPL-3.0", "Zlib"], ["MIT"]]
 
 
+def test_anchors_of_known_sentences():
+    from corpusloom.llm.licences import SENTENCES, anchors
+
+    chosen = anchors(SENTENCES)
+    assert len(chosen) < 15 and all(any(w in s.rstrip("*") for w in chosen) for _, s in SENTENCES)
+    assert anchors([("a", "one"), ("b", "two*")]) == ["one", "two"]
+
+
 def test_licence_files_and_headers(spark):
     """The starts of the licence files and their notices, as published: wrapped, commented, and with every paragraph on one line."""
     from corpusloom.llm.licences import scan_licences
