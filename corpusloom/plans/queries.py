@@ -274,8 +274,9 @@ def stats_mods(spark, sf_dir):
 
 
 def sized(spark, sf_dir) -> DataFrame:
+    """Ids, parts and sizes; written once, as thresholds and the rows within them both read it and texts are slow to measure."""
     rows = documents(spark, sf_dir, part=PART)
-    return rows.select("doc_id", "part", outliers.message_stats(F.col("text")).alias("s")).select("doc_id", "part", "s.*")
+    return materialize(rows.select("doc_id", "part", outliers.message_stats(F.col("text")).alias("s")).select("doc_id", "part", "s.*"))
 
 
 S_SIZED = f"SELECT doc_id, {PART} AS part, {s_tokens('text')} AS num_tokens, length(text) AS num_chars FROM documents"
@@ -772,7 +773,7 @@ def encoded_lines(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     lines = clones.encoded_lines(docs, F.lit(7), "doc_id", clones.message_text(F.col("text")))
     head, tokens = F.split("value", "@#@").getItem(0), F.split("value", "@#@").getItem(1)
-    ordered = F.array_join(F.array_sort(F.split(tokens, ",")), ",")
+    ordered = F.array_join(F.sort_array(F.split(tokens, ",")), ",")
     return lines.select(F.split(head, ",").getItem(1).cast("long").alias("doc_id"), F.md5(F.concat(head, F.lit("@#@"), ordered)).alias("line_md5"))
 
 

@@ -1,22 +1,27 @@
 """Cleaning, statistics, clones, sources, the pipeline and the stream on small literal cases."""
 
 import gzip
+import hashlib
 import json
 import random
 import re
 import subprocess
 
 import pytest
+from corpusloom.functions import cleaning
 from corpusloom.functions.cleaning import clean_lines
+from corpusloom.functions.text import n_tokens, one_token
 from corpusloom.operators import clones, diffs, messages, outliers
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ids import surrogate_ids
 from corpusloom.operators.prefix import ranged_prefix
-from corpusloom.plans.pipeline import Config, Tables, run
+from corpusloom.plans.pipeline import Config, Tables, run, with_stats
+from corpusloom.plans.queries import QUERIES
 from corpusloom.sources import commits
 from corpusloom.streaming.stages import clean_stream
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
 LEADS, TAILS = ("", "- ", ": ", "-", ":"), ("", ".", "?", "........", "???", "!!", "~")
 THINGS = {
     "[EMAIL]": ["some.one@mail.org", "<a+b@c.co>"],
@@ -393,3 +398,13 @@ def test_enrichment_resumes(spark, tmp_path):
     done = spark.read.schema("name string, stars long, license string").json(str(tmp_path / "out"))
     assert sorted(map(tuple, done.collect())) == [("a", 1, "MIT"), ("b", None, None)]
     assert [tuple(r) for r in enrich(names, fetch, "stars long, license string", done).collect()] == [("c", 1, "MIT")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_saved_thresholds_measure_texts_once(spark):
+    assert "regexp" not in plan_of(QUERIES["thresholds_saved"](spark, SF))
+    texts = ["a b", " \u3000é\u00a0x\x1cy\n", "", "\u2003", "wörter ~!  z"]
+    assert applied(spark, texts, n_tokens) == [2, 3, 0, 0, 3]
