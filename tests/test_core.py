@@ -408,3 +408,17 @@ def test_saved_thresholds_measure_texts_once(spark):
     assert "regexp" not in plan_of(QUERIES["thresholds_saved"](spark, SF))
     texts = ["a b", " \u3000é\u00a0x\x1cy\n", "", "\u2003", "wörter ~!  z"]
     assert applied(spark, texts, n_tokens) == [2, 3, 0, 0, 3]
+
+
+def test_messages_are_cleaned_once(spark):
+    rows = spark.createDataFrame([(1, "Fix a@b.org it now")], "id int, message string")
+    for replace in (False, True):
+        plan = plan_of(messages.clean_messages(rows, replace=replace))
+        assert [x for x in plan.split("\n") if "Filter" in x and "regexp_replace" in x] == []
+
+
+def test_cheap_tests_of_messages_agree_with_whole_ones(spark):
+    squash = {"a\n* b": True, "a\n\n* b": False, "a\n \t* b\n": False, "\n*": True, "a\n  *\n\x1c* c": True, "a\n b\n* c": False, "\n": False}
+    assert applied(spark, list(squash), messages.is_squash) == list(squash.values())
+    assert applied(spark, ["a", " a \n", "\u3000é ", "a b", " ", "", "a\u00a0b"], one_token) == [True, True, True, False, False, False, False]
+    assert applied(spark, [" \n UPDATE readme", "-update readme", "updates", "x update readme"], messages.is_trivial) == [True, False, False, False]
