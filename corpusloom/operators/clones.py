@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import BLANKS, strip
 from corpusloom.operators.components import connected_components
 
 # fixed value: what separates the tokens of clone search
@@ -59,7 +63,7 @@ def bag_hash(ordered: Column) -> Column:
 def add_hashes(df: DataFrame, message: str = "message", mods: str = "mods", line_sep: str = "\n", tokens_hash: bool = False) -> DataFrame:
     """``df`` with mh, dh (hashes for clone search, null without tokens), n_total_* and n_unique_* (token counts)."""
     texts = df.withColumns({"_msg": message_text(F.col(message), line_sep), "_diff": diff_text(F.col(mods), line_sep)})
-    cut = texts.withColumns({"_msg_t": F.array_sort(clone_tokens(F.col("_msg"))), "_diff_t": F.array_sort(clone_tokens(F.col("_diff")))})
+    cut = texts.withColumns({"_msg_t": F.sort_array(clone_tokens(F.col("_msg"))), "_diff_t": F.sort_array(clone_tokens(F.col("_diff")))})
     made = {}
     for short, name in (("mh", "msg"), ("dh", "diff")):
         t = F.col(f"_{name}_t")
@@ -173,34 +177,53 @@ def pair_clones_to_drop(
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+# fixed values of encoded lines: what separates the head from the tokens, and a token from its count
+HEAD, COUNT = "@#@", "@@::@@"
+
+
+def _by_bytes(function):
+    """A function of a text's bytes as one of columns; null for null. Functions made inside others are shipped whole: workers need not have this package."""
+
+    def column(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else function(x) for x in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+    return F.arrow_udf(column, "string")
+
+
+def _encoder():
+    """n, different, md5, then each token with its count; one pass over the tokens of :func:`clone_tokens`."""
+    # what separates tokens becomes a blank; all of it is ASCII, so that works on UTF-8 too
+    to_blank = bytes(32 if i < 128 and re.fullmatch(SEPARATORS, chr(i)) else i for i in range(256))
+    to_strip, blanks, count, head = re.compile(rb"[\x0b\x0c\x1c-\x1f]"), BLANKS.encode(), COUNT.encode(), HEAD
+
+    def encode(text: bytes) -> str:
+        tokens = [t for t in text.translate(to_blank).split(b" ") if t]
+        if to_strip.search(text):
+            tokens = [t.strip(blanks) for t in tokens]
+        counts = Counter(tokens)  # in the order in which they first occur
+        body = b",".join(b"%b%b%d" % (t, count, n) for t, n in counts.items()).decode("utf-8", "replace")
+        return f"{len(tokens)},{len(counts)},{md5(text).hexdigest()}{head}{body}"
+
+    return encode
+
+
 def encoded_lines(df: DataFrame, part_id: Column, column: str, text: Column, line_sep: str = "\n") -> DataFrame:
     """value: one line an example for external clone search: part, id, token counts, hash of the text, then each token with its count.
 
     ``column`` holds the id; tokens stand in the order in which they first occur. Null texts fail.
     """
-    # fixed values: what separates the head from the tokens, and a token from its count
-    head, count = "@#@", "@@::@@"
     checked = F.when(text.isNull(), F.raise_error(F.lit("null text"))).otherwise(text)
-    cut = df.select(part_id.alias("p"), F.col(column).alias("i"), checked.alias("x")).withColumn("t", clone_tokens(F.col("x")))
-    # tokens with their places, sorted: a run for each different one, its first place and its length
-    placed = cut.select("p", "i", "x", F.size("t").alias("n"), F.array_sort(F.transform("t", lambda y, at: F.struct(y.alias("t"), at.alias("at")))).alias("s"))
-    change = lambda k: (k == 0) | (F.get("s", k)["t"] != F.get("s", k - 1)["t"])
-    starts = placed.withColumn("starts", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), change)).otherwise(F.array().cast("array<int>")))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array("n"))
-    run = lambda k, end: F.struct(F.get("s", k)["at"].alias("at"), F.concat(F.get("s", k)["t"], F.lit(count), (end - k).cast("string")).alias("y"))
-    runs = starts.withColumn("runs", F.array_sort(F.zip_with("starts", F.slice(ends, F.lit(1), F.size("starts")), run)))
-    body = F.concat(F.md5("x"), F.lit(head), F.array_join(F.transform("runs", lambda r: r["y"]), ","))
-    return runs.select(F.concat_ws(",", "p", "i", "n", F.size("runs"), body).alias("value"))
+    return df.select(F.concat_ws(",", part_id, F.col(column), _by_bytes(_encoder())(checked)).alias("value"))
 
 
 def hashes_of_encoded(lines: DataFrame, tokens_hash: bool = True) -> DataFrame:
     """part_idx, idx, hash from lines of :func:`encoded_lines`; examples without tokens are left out."""
-    head, tokens = F.split("value", "@#@").getItem(0), F.split("value", "@#@").getItem(1)
+    head, tokens = F.split("value", HEAD).getItem(0), F.split("value", HEAD).getItem(1)
     info = F.split(head, ",")
     rows = lines.select(info[0].cast("int").alias("part_idx"), info[1].cast("int").alias("idx"), info[3].cast("int").alias("unique"), info[4].alias("hash"), tokens.alias("tokens"))
     rows = rows.where(F.col("unique") > 0)
     if tokens_hash:
-        pairs = F.array_sort(F.transform(F.split("tokens", ","), lambda t: F.split(t, "@@::@@")))
+        pairs = F.array_sort(F.transform(F.split("tokens", ","), lambda t: F.split(t, COUNT)))
         body = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p[0], F.lit('": '), p[1])), ", ")
         rows = rows.withColumn("hash", F.md5(F.concat(F.lit("{"), body, F.lit("}"))))
     return rows.select("part_idx", "idx", "hash")

@@ -422,3 +422,11 @@ def test_cheap_tests_of_messages_agree_with_whole_ones(spark):
     assert applied(spark, list(squash), messages.is_squash) == list(squash.values())
     assert applied(spark, ["a", " a \n", "\u3000é ", "a b", " ", "", "a\u00a0b"], one_token) == [True, True, True, False, False, False, False]
     assert applied(spark, [" \n UPDATE readme", "-update readme", "updates", "x update readme"], messages.is_trivial) == [True, False, False, False]
+
+
+def test_encoded_lines_read_tokens_once(spark):
+    rows = spark.createDataFrame([(3, "b a\x0b,b;\x0b é.a"), (4, " ;")], "id long, text string")
+    lines = clones.encoded_lines(rows, F.lit(1), "id", F.col("text"))
+    assert "lambdafunction" not in plan_of(lines)
+    digest = [hashlib.md5(t.encode()).hexdigest() for t in ("b a\x0b,b;\x0b é.a", " ;")]
+    assert [r["value"] for r in lines.orderBy("value").collect()] == [f"1,3,6,4,{digest[0]}@#@b@@::@@2,a@@::@@2,@@::@@1,é@@::@@1", f"1,4,0,0,{digest[1]}@#@"]
