@@ -207,6 +207,17 @@ def _encoder():
     return encode
 
 
+def _bagger():
+    """md5 of the counts of encoded tokens as a sorted JSON object."""
+    count = COUNT.encode()
+
+    def bag(tokens: bytes) -> str:
+        pairs = sorted(t.split(count) for t in tokens.split(b","))
+        return md5(b"{" + b", ".join(b'"%b": %b' % (p[0], p[1]) for p in pairs) + b"}").hexdigest()
+
+    return bag
+
+
 def encoded_lines(df: DataFrame, part_id: Column, column: str, text: Column, line_sep: str = "\n") -> DataFrame:
     """value: one line an example for external clone search: part, id, token counts, hash of the text, then each token with its count.
 
@@ -223,7 +234,5 @@ def hashes_of_encoded(lines: DataFrame, tokens_hash: bool = True) -> DataFrame:
     rows = lines.select(info[0].cast("int").alias("part_idx"), info[1].cast("int").alias("idx"), info[3].cast("int").alias("unique"), info[4].alias("hash"), tokens.alias("tokens"))
     rows = rows.where(F.col("unique") > 0)
     if tokens_hash:
-        pairs = F.array_sort(F.transform(F.split("tokens", ","), lambda t: F.split(t, COUNT)))
-        body = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p[0], F.lit('": '), p[1])), ", ")
-        rows = rows.withColumn("hash", F.md5(F.concat(F.lit("{"), body, F.lit("}"))))
+        rows = rows.withColumn("hash", _by_bytes(_bagger())(F.col("tokens")))
     return rows.select("part_idx", "idx", "hash")

@@ -430,3 +430,10 @@ def test_encoded_lines_read_tokens_once(spark):
     assert "lambdafunction" not in plan_of(lines)
     digest = [hashlib.md5(t.encode()).hexdigest() for t in ("b a\x0b,b;\x0b é.a", " ;")]
     assert [r["value"] for r in lines.orderBy("value").collect()] == [f"1,3,6,4,{digest[0]}@#@b@@::@@2,a@@::@@2,@@::@@1,é@@::@@1", f"1,4,0,0,{digest[1]}@#@"]
+
+
+def test_hashes_of_encoded_lines_sort_no_arrays(spark):
+    lines = spark.createDataFrame([("1,3,4,3,aa@#@b@@::@@1,a1@@::@@1,a@@::@@2",), ("1,4,0,0,bb@#@",)], "value string")
+    found = clones.hashes_of_encoded(lines)
+    assert "lambdafunction" not in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [(1, 3, hashlib.md5(b'{"a": 2, "a1": 1, "b": 1}').hexdigest())]
