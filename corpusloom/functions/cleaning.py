@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import SPACE, W, strip
+from corpusloom.functions.text import BLANKS, SPACE, W, strip
 
 # fixed values: what stands for removed things
 TOKENS = {"email": "[EMAIL]", "url": "[URL]", "at_pattern": "[NICKNAME]", "sha": "[COMMIT_ID]", "issue_ref": "[ISSUE_ID]"}
@@ -58,7 +60,7 @@ def _unled(x: Column) -> Column:
 
 
 #: For each pattern of ISSUES, a test that is true wherever the pattern can match.
-ISSUE_SIGNS = (lambda x: x.contains("#"), lambda x: x.contains("GH-"), lambda x: x.contains("gh-"), lambda x: x.rlike(r"[A-Z]\w+-\d"))
+ISSUE_SIGNS = (lambda x: x.contains("#"), lambda x: x.contains("GH-"), lambda x: x.contains("gh-"), lambda x: x.contains("-") & x.rlike(r"[A-Z]\w+-\d"))
 
 
 def issues(x: Column, replace: bool = False) -> Column:
@@ -75,9 +77,23 @@ def signatures(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?d)\A{LINE_SIGNATURES}.*?\z", "")
 
 
+#: How each of SIGNATURES begins, far enough to be rare; their first letters are tested before.
+SIGNATURE_STARTS = (
+    "signed[- ]?off", "co[- ]?authored", "also[- ]?by", "reviewed?[- ]?[bo]", "former[- ]?commit", "git-svn-id", "auto-submit", "commit-queue", "created by moe", "moe_migrated",
+    "fbshipit", "differential rev", "pulled[- ]?by", "change-id", "piperorigin", "bazel_version", "kubernetes-c", "revision: r", "sandbox task", "glycine run",
+    r"\(merged from", r"\(cherry", "tracked[- ]?on",
+)
+
+
 def _signed(x: Column) -> Column:
-    """Whether a line holds any of the signatures: one pass instead of one for each."""
-    return x.rlike(rf"(?id)(?:\A|{SPACE})(?:{'|'.join(SIGNATURES)})") | x.rlike(rf"\A{LINE_SIGNATURES}")
+    """Whether a line may hold any of the signatures: one pass instead of one for each."""
+    starts = F.concat(F.lit(" "), x).rlike(rf"[{BLANKS}](?=[sScCaArRfFgGmMdDpPbBkKtT(])(?i:{'|'.join(SIGNATURE_STARTS)})")
+    return starts | reduce(Column.__or__, [x.startswith(s) for s in ("Bug:", "BUG=", "FIXES=", "R=")])
+
+
+def _hashed(x: Column) -> Column:
+    """Whether a line may hold a hash of a commit: what stands before one is a blank, a lead or nothing."""
+    return F.concat(F.lit(" "), x).rlike(rf"[{BLANKS}:\-](?:{'|'.join(SHA_PREFIXES[1:])})?[0123456789ABCDEFabcdef-]{{7}}")
 
 
 def shas(x: Column, replace: bool = False) -> Column:
@@ -104,5 +120,5 @@ def clean_lines(lines: Column, replace: bool = False) -> Column:
             lines = F.transform(lines, _unled)
     lines = step(_signed, signatures)
     lines = step(lambda x: x.contains("@"), lambda x: nicks(x, replace))
-    lines = step(lambda x: x.rlike(r"[\dA-Fa-f-]{7}"), lambda x: shas(x, replace))
+    lines = step(_hashed, lambda x: shas(x, replace))
     return F.transform(lines, strip)

@@ -437,3 +437,14 @@ def test_hashes_of_encoded_lines_sort_no_arrays(spark):
     found = clones.hashes_of_encoded(lines)
     assert "lambdafunction" not in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [(1, 3, hashlib.md5(b'{"a": 2, "a1": 1, "b": 1}').hexdigest())]
+
+
+def test_tests_before_patterns_let_all_matches_through(spark):
+    signed = ["Signed-off-by", "co-authored-by", "coauthored by", "ALSO by", "reviewe by", "Reviewed-on", "former commit id", "git-svn-id", "Auto-Submit", "commit-queue", "Created by MOE", "MOE_MIGRATED_REVID"]
+    signed += ["fbshipit-source-id", "Differential Revision", "Pulled-by", "change-id", "PiperOrigin-RevId", "BAZEL_VERSION_REV_ID", "kubernetes-commit", "Revision: r", "Sandbox task ID", "glycine run id"]
+    signed += ["(Merged from", "(cherry picked from", "(cherry-picked from", "tracked on"]
+    lines = [f"{before}{s} x" for s in signed for before in ("", "a\t")] + ["Bug:1", "BUG=1", "FIXES=1", "R=1"]
+    assert [x for x, y, z in zip(lines, applied(spark, lines, cleaning._signed), applied(spark, lines, lambda x: cleaning.signatures(x) != x)) if not (y and z)] == []
+    hashes = ["0123abc", "x -:ref:0123abc", "x Iabcdef0.", "--0123abc"]
+    assert applied(spark, hashes, cleaning._hashed) == [True] * 4
+    assert applied(spark, ["decade0", "facadexx", "see xdeadbeef1"], cleaning._hashed) == [True, False, False]
