@@ -77,9 +77,11 @@ def drop_paired(df: DataFrame, tables: Tables, config: Config) -> DataFrame:
 
 
 def with_stats(commits: DataFrame) -> DataFrame:
-    staged = commits.withColumns({"_m": sizes.message_stats(F.col("message")), "_d": sizes.mods_stats(F.col("mods"))})
-    flat = {f"msg_{c}": F.col(f"_m.{c}") for c in sizes.MESSAGE_STATS} | {f"diff_{c}": F.col(f"_d.{c}") for c in sizes.DIFF_STATS}
-    return staged.withColumns(flat).drop("_m", "_d")
+    # past a generator no filter is pushed: else texts are measured again in what drops rows below
+    both = F.struct(sizes.message_stats(F.col("message")).alias("m"), sizes.mods_stats(F.col("mods")).alias("d"))
+    staged = commits.withColumn("_s", F.explode_outer(F.array(both)))
+    flat = {f"msg_{c}": F.col(f"_s.m.{c}") for c in sizes.MESSAGE_STATS} | {f"diff_{c}": F.col(f"_s.d.{c}") for c in sizes.DIFF_STATS}
+    return staged.withColumns(flat).drop("_s")
 
 
 def drop_by_metadata(df: DataFrame, tables: Tables, config: Config) -> DataFrame:

@@ -448,3 +448,11 @@ def test_tests_before_patterns_let_all_matches_through(spark):
     hashes = ["0123abc", "x -:ref:0123abc", "x Iabcdef0.", "--0123abc"]
     assert applied(spark, hashes, cleaning._hashed) == [True] * 4
     assert applied(spark, ["decade0", "facadexx", "see xdeadbeef1"], cleaning._hashed) == [True, False, False]
+
+
+def test_outliers_are_dropped_without_measuring_again(spark):
+    assert "regexp" not in plan_of(QUERIES["outlier_drop"](spark, SF))
+    commits_ = spark.createDataFrame([("train", "a b", []), ("train", "c d", [])], f"part string, message string, mods {commits.MODS}")
+    sized = with_stats(commits_)
+    plan = plan_of(outliers.drop_outliers(sized, outliers.percentiles(sized, ["msg_num_tokens"]), ["msg_num_tokens"]))
+    assert [x for x in plan.split("\n") if "Filter" in x and "regexp" in x] == []
