@@ -208,11 +208,11 @@ def _encoder():
 
 
 def _bagger():
-    """md5 of the counts of encoded tokens as a sorted JSON object."""
-    count = COUNT.encode()
+    """md5 of the counts of an encoded line's tokens as a sorted JSON object; a line without tokens' place fails."""
+    count, head = COUNT.encode(), HEAD.encode()
 
-    def bag(tokens: bytes) -> str:
-        pairs = sorted(t.split(count) for t in tokens.split(b","))
+    def bag(line: bytes) -> str:
+        pairs = sorted(t.split(count) for t in line.split(head)[1].split(b","))
         return md5(b"{" + b", ".join(b'"%b": %b' % (p[0], p[1]) for p in pairs) + b"}").hexdigest()
 
     return bag
@@ -229,10 +229,9 @@ def encoded_lines(df: DataFrame, part_id: Column, column: str, text: Column, lin
 
 def hashes_of_encoded(lines: DataFrame, tokens_hash: bool = True) -> DataFrame:
     """part_idx, idx, hash from lines of :func:`encoded_lines`; examples without tokens are left out."""
-    head, tokens = F.split("value", HEAD).getItem(0), F.split("value", HEAD).getItem(1)
-    info = F.split(head, ",")
-    rows = lines.select(info[0].cast("int").alias("part_idx"), info[1].cast("int").alias("idx"), info[3].cast("int").alias("unique"), info[4].alias("hash"), tokens.alias("tokens"))
+    info = F.split(F.substring_index("value", HEAD, 1), ",")
+    rows = lines.select(info[0].cast("int").alias("part_idx"), info[1].cast("int").alias("idx"), info[3].cast("int").alias("unique"), info[4].alias("hash"), "value")
     rows = rows.where(F.col("unique") > 0)
     if tokens_hash:
-        rows = rows.withColumn("hash", _by_bytes(_bagger())(F.col("tokens")))
+        rows = rows.withColumn("hash", _by_bytes(_bagger())(F.col("value")))
     return rows.select("part_idx", "idx", "hash")

@@ -772,7 +772,7 @@ S_BAG = "list_transform(list_distinct(t), lambda u: u || '@@::@@' || len(list_fi
 def encoded_lines(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     lines = clones.encoded_lines(docs, F.lit(7), "doc_id", clones.message_text(F.col("text")))
-    head, tokens = F.split("value", "@#@").getItem(0), F.split("value", "@#@").getItem(1)
+    head, tokens = F.substring_index("value", "@#@", 1), F.substring_index("value", "@#@", -1)
     ordered = F.array_join(F.sort_array(F.split(tokens, ",")), ",")
     return lines.select(F.split(head, ",").getItem(1).cast("long").alias("doc_id"), F.md5(F.concat(head, F.lit("@#@"), ordered)).alias("line_md5"))
 
